@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import op2_license_scans, op3_token_ids, op10_quality_rules
+from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op8_packing, op10_quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts.query,
         "op2_license_scans": op2_license_scans.query,
         "op3_token_ids": op3_token_ids.query,
+        "op4_chat_formatting": op4_chat_formatting.query,
+        "op8_packing": op8_packing.query,
         "op10_quality_rules": op10_quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_chat_formatting": op4_chat_formatting.ORACLE,
+    }
