@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op8_packing, op10_quality_rules
+from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op10_quality_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_chat_formatting": op4_chat_formatting.query,
         "op5_suffix_array_dedup": op5_suffix_array_dedup.query,
         "op6_substring_dedup": op6_substring_dedup.query,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join.query,
         "op8_packing": op8_packing.query,
         "op10_quality_rules": op10_quality_rules.query,
     }
@@ -21,4 +22,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": op4_chat_formatting.ORACLE,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join.ORACLE,
     }
