@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op10_quality_rules
+from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup.query,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join.query,
         "op8_packing": op8_packing.query,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination.query,
         "op10_quality_rules": op10_quality_rules.query,
     }
 
