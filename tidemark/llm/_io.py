@@ -34,14 +34,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables made so far but the last ``keep``; call it once results that read them are written."""
-    jvm = spark.sparkContext._jvm
-    done = _MADE[: len(_MADE) - keep]
-    for path in done:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def made_since(mark: int | None = None):
+    """Without a mark, a mark of now; with one, the scratch paths made since."""
+    return len(_MADE) if mark is None else _MADE[mark:]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; call it once results that read them are written."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _MADE[: len(done)]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_packing": op8_packing.query,
         "op9_benchmark_decontamination": op9_benchmark_decontamination.query,
         "op10_quality_rules": op10_quality_rules.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
