@@ -179,11 +179,16 @@ def _mark(units: Units, count: int, once: bool):
     return run, "bucket int, " + ", ".join(f"{x} binary" for x, _ in [*_ANCHOR, *_DONE])
 
 
-def _wanted(t: pa.Table) -> pa.Table:
+def _wanted(t: pa.Table, several: bool) -> pa.Table:
     cols = _load(t, _ANCHOR)
     keep = _doubled(cols["h"], cols["m"])
     cols, first = _sorted_groups({k: v[keep] for k, v in cols.items()}, False)
     m = np.add.reduceat(cols["m"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    if several and len(first):  # anchors of one content hold nothing to compare
+        h = cols["h"][first]
+        other = np.concatenate(([False], h[1:] == h[:-1]))
+        other[:-1] |= h[1:] == h[:-1]
+        first, m = first[other], m[other]
     pick = lambda k, kind: pa.array(cols[k][first].astype(kind) if k not in "hc" else cols[k][first].view(np.int64))
     return pa.table({"ref": pick("r", np.int64), "h": pick("h", None), "c": pick("c", None), "lo": pick("lo", np.int32), "n": pick("n", np.int32), "m": pa.array(np.minimum(m, 2).astype(np.int32))})
 
@@ -285,10 +290,10 @@ def repeated_windows(docs: DataFrame, units: Units, solve: Callable, first_stays
     count = min(buckets(text_bytes(docs, text), 8 << 20), 1 << 18)
     run, schema = _mark(units, count, first_stays)
     marked = docs.select("_ref", text).mapInArrow(run, schema)
-    wanted = marked.groupBy("bucket").applyInArrow(_wanted, "ref long, h long, c long, lo int, n int, m int")
+    wanted = marked.groupBy("bucket").applyInArrow(lambda t: _wanted(t, first_stays), "ref long, h long, c long, lo int, n int, m int")
     asked = wanted.groupBy("ref").agg(F.collect_list(F.struct("h", "c", "ref", "lo", "n", "m")).alias("_want")).withColumnRenamed("ref", "_ref")
     place = docs.columns.index(text)
-    ordered = docs.select(*docs.columns)
+    ordered = docs.where("_ref is not null")  # never is; both joins then ask for one and the same exchange
     first = ordered.join(asked.hint("shuffle_merge"), "_ref").select(*docs.columns, "_want")
     run, schema = _fetch(units, count, place)
     strings = first.mapInArrow(run, schema)
