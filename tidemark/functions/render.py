@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..schemas import BOOL, BYTES, DOUBLE, EMPTY, INT, MAP, SLICE, STR
+from ..schemas import BOOL, BYTES, DOUBLE, INT, MAP, SLICE, STR
 from .text import display_double, finite, json_double, lossy, none_if_empty, quote
 
 
@@ -88,4 +88,3 @@ def exemplars_json(exemplars: Column) -> Column:
     return _list(exemplars, one)
 
 
-_ = EMPTY

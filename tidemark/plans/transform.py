@@ -99,3 +99,19 @@ def view_of(spark, view: str, signal: str, fmt: str | None = None, name: str | N
     else:
         (transform_logs if signal == "logs" else transform_traces)(payloads, fmt).createOrReplaceTempView(name)
     return name
+
+
+def transform_star(messages: DataFrame, signal: str, mode: str = "failfast", keep_order: bool = False) -> DataFrame | MetricTables:
+    """The same tables from the columnar star protocol."""
+    from ..operators.star import IRS
+    from ..sources.star_session import decode_streams
+
+    star = decode_streams(messages, signal)
+    if mode == "failfast":
+        fail = F.raise_error(F.concat(F.lit("stream "), F.col("stream_id"), F.lit(": "), F.col("error")))
+        star = star.where(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True)))
+    ir = IRS[signal](star)
+    if signal == "metrics":
+        return metric_tables(ir.drop("stream_id"), mode, keep_order)
+    good, _ = checked(ir.drop("stream_id"), signal, mode)
+    return (normalize.logs if signal == "logs" else normalize.traces)(good, ORDINALS if keep_order else [])
