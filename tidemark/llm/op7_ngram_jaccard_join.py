@@ -188,7 +188,7 @@ def _cross(percent: int):
         for i, j in zip(cut, cut[1:]):
             end = np.searchsorted(comp[i:j], comp[i:j], "right") + i
             for a in range(i, j):
-                e = int(end[a])
+                e = int(end[a - i])
                 if e >= j:
                     break
                 ok = _passes(n[a], n[e:j], p[a], p[e:j], percent) & (k[e:j] != hub[a]) & (k[a] != hub[a])
