@@ -155,7 +155,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(flat[i:j]) for i, j in zip(begin.tolist(), x.ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x.doc_ids, pa.int64()), pa.array(begin + first), pa.array(x.ends - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = files.select("part", "seq", "image").join(F.broadcast(starts), ["part", "seq"]).select("first", "image")
+    joined = files.select("part", "seq", "image").join(starts, ["part", "seq"]).select("first", "image")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
