@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, functions as F
 
+from .text import literal_map
+
 #: Names of enum members, by number from 0.
 SPAN_KINDS = ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
 STATUS_CODES = ("UNSET", "OK", "ERROR")
@@ -44,7 +44,7 @@ def whole_number(c: Column) -> Column:
 
 def enum_number(c: Column, enum: str) -> Column:
     """Name or number to number; null if neither."""
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v).cast("bigint")) for k, v in ENUMS[enum].items()))
+    known = literal_map(tuple(ENUMS[enum].items()), "bigint")
     return F.coalesce(F.try_element_at(known, c), whole_number(c))
 
 
@@ -64,9 +64,9 @@ def looks_like_json(payload: Column) -> Column:
 
 
 def format_of(content_type: Column) -> Column:
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CONTENT_TYPES.items()))
+    known = literal_map(tuple(CONTENT_TYPES.items()))
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(content_type))), F.lit("auto"))
 
 
 def content_type_of(fmt: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in FORMAT_TYPES.items())), fmt)
+    return F.try_element_at(literal_map(tuple(FORMAT_TYPES.items())), fmt)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 
@@ -46,13 +50,27 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+@lru_cache(maxsize=64)
+def _made(items: tuple, gateway: int, kind: str | None) -> Column:
+    lit = lambda v: F.lit(v).cast(kind) if kind else F.lit(v)
+    return F.create_map(*chain.from_iterable((F.lit(k), lit(v)) for k, v in items))
+
+
+def literal_map(items: tuple, kind: str | None = None) -> Column:
+    """A constant map, made once per JVM: each literal is a call to it."""
+    return _made(items, id(SparkContext._gateway), kind)
+
+
+#: JSON's short escapes.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
 def quote(c: Column) -> Column:
     """A JSON string; escapes only what JSON must have escaped."""
-    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for i in range(32):
-        out = F.replace(out, F.lit(chr(i)), F.lit(short.get(i, f"\\u{i:04x}")))
-    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), out).otherwise(c), F.lit('"'))
+    codes = {chr(i): f"\\u{i:04x}" for i in range(32)} | _SHORT
+    known = literal_map(tuple(codes.items()))
+    escaped = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(c), F.lit('"'))
 
 
 def lossy(c: Column) -> Column:

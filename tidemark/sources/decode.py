@@ -204,7 +204,7 @@ def decode(payloads: DataFrame, signal: str, fmt: str | None = None) -> DataFram
     text = F.col("payload").cast("string")
     parsed = payloads.where("format = 'json'").withColumn("_plain", ~(text.contains("arrayValue") | text.contains("kvlistValue") | text.contains("null")))
     schema = T.StructType.fromDDL(f"{JSON[signal]}, _bad string")
-    native = parsed.where("_plain").select("payload_id", "payload", "format", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("j"))
+    native = parsed.where("_plain").select("payload_id", "payload", "format", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}).alias("j"))
     good = _native_rows(native.where("j._bad is null and j is not null"), signal)
     rest = native.where("j._bad is not null or j is null").select("payload_id", "payload", "format").union(parsed.where("not _plain").select("payload_id", "payload", "format"))
     if fmt != "json":
