@@ -6,12 +6,16 @@
    sent to tasks): shingles well above the usual count are frequent.
 2. A second pass sorts each set rare first and sends its prefix, packed by
    bucket of the shingle.  Buckets drop shingles of one class only.
-3. Each shingle's classes are first linked with one hub (that of the smallest
-   mixed key), after length and positional filters, so pairs are linear in the
-   group.  Pairs are verified once, suffix filter first, in groups of hub and
-   salt.  Classes that a hub already joined need no further link between them;
-   all remaining pairs of different components that share a prefix shingle are
-   verified in a second round, so no link that matters is lost.
+3. Each shingle's classes are first linked with one hub, after length and
+   positional filters, so pairs are linear in the group; a second round takes
+   another hub for each shingle whose classes are still in several components.  Pairs
+   are verified once, suffix filter first, in groups of hub and salt.  Classes
+   that are joined already need no further link; all remaining pairs of
+   different components that share a prefix shingle are verified in a last
+   round, so no link that matters is lost.
+   Before sets are fetched, both pairs' parity bitmaps (1024 bits over the whole
+   set) are compared: they never differ in more bits than the sets in shingles,
+   so a pair whose bitmaps differ in too many bits cannot link.
 4. Components by alternating stars.
 
 Two sets link when ``100 * intersection >= percent * union``.  Null and empty
@@ -33,6 +37,7 @@ SLOTS = 1 << 20
 _BLOCK = 1 << 14
 _TOKEN = [("t", "<u8"), ("k", "<u8"), ("n", "<u4"), ("p", "<u4")]
 SALT = 256
+BITS = 1024
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int):
@@ -66,22 +71,40 @@ def _sign(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(_sums(mix(x), first) + n), mix(_sums(mix(x ^ U(0x5851F42D4C957F2D)), first) + n)
 
 
+def _bitmaps(r: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """Parity of the shingles that fall on each bit, by row: (rows, BITS / 8) bytes."""
+    out = np.zeros((rows, BITS // 8), np.uint8)
+    bit = (x & U(BITS - 1)).astype(np.int64)
+    for i in range(0, rows, 1024):
+        a, b = np.searchsorted(r, [i, min(i + 1024, rows)])
+        k = min(1024, rows - i)
+        odd = np.bincount((r[a:b] - i) * BITS + bit[a:b], minlength=k * BITS) & 1
+        out[i : i + k] = np.packbits(odd.astype(np.uint8).reshape(k, BITS), axis=1)
+    return out
+
+
+def _most(nx, ny, percent: int):
+    """How many shingles two linked sets of these sizes can differ in."""
+    return nx + ny - 2 * (-(-percent * (nx + ny) // (100 + percent)))
+
+
 def _describe(n: int):
     def run(batches):
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(1)):
-                _, x, first = shingle_sets(buf, off, n)
+                r, x, first = shingle_sets(buf, off, n)
+                bits = _bitmaps(r, x, b - a)
                 counts += np.bincount((x >> U(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                 s1, s2 = _sign(x, first)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(first), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["ref", "n", "s1", "s2", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(first), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([y.tobytes() for y in bits], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["ref", "n", "s1", "s2", "bits", "block", "counts"])
         if counts.any():
             blocks = SLOTS // _BLOCK
             none = pa.nulls(blocks, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(blocks), pa.int32()), pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].tobytes() for i in range(blocks)], pa.binary())], ["ref", "n", "s1", "s2", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].tobytes() for i in range(blocks)], pa.binary())], ["ref", "n", "s1", "s2", "bits", "block", "counts"])
 
-    return run, "ref long, n long, s1 long, s2 long, block int, counts binary"
+    return run, "ref long, n long, s1 long, s2 long, bits binary, block int, counts binary"
 
 
 def _add_blocks(t: pa.Table) -> pa.Table:
@@ -177,30 +200,43 @@ def _hubs(percent: int):
     return run, "t long, k long, n long, p long, hub long, ok boolean, more boolean"
 
 
-def _cross(percent: int):
-    """Pairs of different components that share a shingle and pass the filters, but those with the hub."""
+def _open_pairs(percent: int, whole: bool):
+    """Plausible pairs of different components that share a shingle: all of them, or those with one hub a shingle.
+
+    Each shingle takes its hub by its own hash, so a class is tried with many
+    others over its shingles while pairs stay linear in the rows.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("t", "ascending"), ("comp", "ascending")])
-        tok, k, n, p, hub, comp = (t[c].to_numpy() for c in ("t", "k", "n", "p", "hub", "comp"))
+        tok, k, n, p, comp = (t[c].to_numpy() for c in ("t", "k", "n", "p", "comp"))
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), U).reshape(len(tok), BITS // 64)
         cut = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True]))).tolist()
+        rank = mix(tok.view(U) ^ mix(k.view(U)))
         left, right = [], []
+
+        def test(a: int, others: np.ndarray) -> None:
+            hit = others[_passes(n[a], n[others], p[a], p[others], percent)]
+            hit = hit[np.bitwise_count(bits[hit] ^ bits[a]).sum(axis=1) <= _most(n[a], n[hit], percent)]
+            left.append(np.full(len(hit), k[a]))
+            right.append(k[hit])
+
         for i, j in zip(cut, cut[1:]):
-            end = np.searchsorted(comp[i:j], comp[i:j], "right") + i
+            if not whole:
+                a = i + int(np.argmin(rank[i:j]))
+                test(a, np.flatnonzero(comp[i:j] != comp[a]) + i)
+                continue
+            end = (np.searchsorted(comp[i:j], comp[i:j], "right") + i).tolist()
             for a in range(i, j):
-                e = int(end[a - i])
-                if e >= j:
+                if end[a - i] >= j:
                     break
-                ok = _passes(n[a], n[e:j], p[a], p[e:j], percent) & (k[e:j] != hub[a]) & (k[a] != hub[a])
-                hit = k[e:j][ok]
-                left.append(np.full(len(hit), k[a]))
-                right.append(hit)
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+                test(a, np.arange(end[a - i], j))
+        x = np.concatenate(left) if left else np.zeros(0, np.int64)
+        y = np.concatenate(right) if right else np.zeros(0, np.int64)
+        pairs = np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(pairs[:, 0]), "hub": pa.array(pairs[:, 1])})
 
-    return run, "x long, y long"
+    return run, "x long, hub long"
 
 
 def suffix_passes(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> bool:
@@ -313,31 +349,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     run, schema = _describe(n)
     described = materialize(keyed.select("_ref", "text").mapInArrow(run, schema), "sets")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
-    sets = described.where("ref is not null").select("ref", "n", "s1", "s2")
-    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("ref").alias("ref"))
+    sets = described.where("ref is not null").select("ref", "n", "s1", "s2", "bits")
+    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("ref").alias("ref"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    classes = materialize(classes, "classes")
     refs = classes.select(F.col("s1").alias("k"), "ref")
+    bitmaps = classes.select(F.col("s1").alias("k"), "bits", F.col("n").alias("size"))
+    classes = classes.select("s1", "s2", "ref")
     count = min(buckets(text_bytes(keyed), 8 << 20), 1 << 18)
     run, schema = _prefixes(n, percent, levels, count)
     packed = keyed.select("text").mapInArrow(run, schema)
     run, schema = _hubs(percent)
     tokens = materialize(packed.groupBy("bucket").applyInArrow(run, schema), "tokens")
-    first = tokens.where("ok").select(F.col("k").alias("x"), "hub").distinct()
-    edges = materialize(_verify(keyed, first, refs, n, percent), "links")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, hub) whose bitmaps may belong to linked sets."""
+        both = pairs.join(bitmaps.withColumnsRenamed({"k": "x", "bits": "bx", "size": "nx"}), "x").join(bitmaps.withColumnsRenamed({"k": "hub", "bits": "bh", "size": "nh"}), "hub")
+
+        def keep(batches):
+            for b in batches:
+                if b.num_rows:
+                    x, h = (np.frombuffer(b"".join(b.column(i).to_pylist()), U).reshape(b.num_rows, -1) for i in (2, 3))
+                    nx, nh = b.column(4).to_numpy(), b.column(5).to_numpy()
+                    ok = np.bitwise_count(x ^ h).sum(axis=1) <= _most(nx, nh, percent)
+                    yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["x", "hub"])
+
+        return both.select("x", "hub", "bx", "bh", "nx", "nh").mapInArrow(keep, "x long, hub long")
+
+    def unsettled(comp: DataFrame) -> DataFrame:
+        """Rows of shingles whose classes are in several components, with the component of each class."""
+        by_key = refs.join(comp, refs.ref == comp.node, "left").select("k", F.coalesce("component", "ref").alias("comp"))
+        open_ = tokens.where("more").join(by_key, "k")
+        several = open_.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
+        left = open_.join(several, "t", "left_semi").select("t", "k", "n", "p", "comp").join(bitmaps.select("k", "bits"), "k")
+        return left.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(count * 4)))
+
+    pair = lambda d: d.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub"))
+    tried = materialize(pair(plausible(tokens.where("ok").select(F.col("k").alias("x"), "hub").distinct())), "tried")
+    edges = materialize(_verify(keyed, tried, refs, n, percent), "links")
     comp = components(edges)
-    # what the hubs left open: shingles whose classes are still in several components
-    by_key = refs.join(comp, refs.ref == comp.node).select("k", "component")
-    open_ = tokens.where("more").join(by_key, "k", "left").withColumn("comp", F.coalesce("component", "k")).withColumn("single", F.col("component").isNull())
-    several = open_.groupBy("t").agg(F.min(F.struct("single", "comp")).alias("a"), F.max(F.struct("single", "comp")).alias("b")).where("a <> b").select("t")
-    run, schema = _cross(percent)
-    # a component's label and a lone class's key never meet: the label is told apart by its sign bit
-    left = open_.join(several, "t", "left_semi").select("t", "k", "n", "p", "hub", F.when(F.col("single"), F.xxhash64("comp")).otherwise(F.col("comp")).alias("comp"))
-    cross = left.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(count * 4))).groupBy("b").applyInArrow(run, schema).distinct()
-    cross = materialize(cross.select("x", F.col("y").alias("hub")), "cross")
-    if not cross.isEmpty():
-        more = materialize(_verify(keyed, cross, refs, n, percent), "links")
-        comp = components(edges.union(more))
+    for whole in (False, True):
+        run, schema = _open_pairs(percent, whole)
+        more = unsettled(comp).groupBy("b").applyInArrow(run, schema).distinct()
+        more = materialize(more.join(tried, ["x", "hub"], "left_anti"), "tried")
+        if not more.isEmpty():
+            tried = tried.union(more)
+            edges = edges.union(materialize(_verify(keyed, more, refs, n, percent), "links"))
+            comp = components(edges)
     ids = keyed.select(F.col("_ref").alias("ref"), "id").distinct()
-    named = sets.join(classes.withColumnRenamed("ref", "rep"), ["s1", "s2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
+    named = sets.drop("bits").join(classes.withColumnRenamed("ref", "rep"), ["s1", "s2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     named = named.select("ref", "n", F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "ref").alias("c")).dropDuplicates(["ref"])
     smallest = ids.select(F.col("ref").alias("c"), F.col("id").alias("component_id"))
     return (
