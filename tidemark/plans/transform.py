@@ -7,6 +7,7 @@ payloads out and lists them in ``errors``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,17 +18,22 @@ from ..sources.decode import decode
 ORDINALS = normalize.ORDINALS
 
 
-@dataclass
 class MetricTables:
-    gauge: DataFrame
-    sum: DataFrame
-    histogram: DataFrame
-    exp_histogram: DataFrame
-    skipped: DataFrame
-    errors: DataFrame
+    """Tables gauge, sum, histogram and exp_histogram, and the counts of skipped points; each plan is built when asked for."""
+
+    NAMES = ("gauge", "sum", "histogram", "exp_histogram")
+
+    def __init__(self, good: DataFrame, errors: DataFrame, keep: list[str]):
+        self._good, self.errors, self._keep = good, errors, keep
+
+    gauge = cached_property(lambda self: normalize.metrics(self._good, "gauge", self._keep))
+    sum = cached_property(lambda self: normalize.metrics(self._good, "sum", self._keep))
+    histogram = cached_property(lambda self: normalize.metrics(self._good, "histogram", self._keep))
+    exp_histogram = cached_property(lambda self: normalize.metrics(self._good, "exp_histogram", self._keep))
+    skipped = cached_property(lambda self: normalize.skipped(self._good))
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: getattr(self, k) for k in ("gauge", "sum", "histogram", "exp_histogram")}
+        return {k: getattr(self, k) for k in self.NAMES}
 
 
 @dataclass
@@ -61,8 +67,7 @@ def transform_traces(payloads: DataFrame, fmt: str | None = None, mode: str = "f
 
 def metric_tables(ir: DataFrame, mode: str = "failfast", keep_order: bool = False) -> MetricTables:
     good, errors = checked(ir, "metrics", mode)
-    keep = ORDINALS if keep_order else []
-    return MetricTables(*(normalize.metrics(good, t, keep) for t in ("gauge", "sum", "histogram", "exp_histogram")), normalize.skipped(good), errors)
+    return MetricTables(good, errors, ORDINALS if keep_order else [])
 
 
 def transform_metrics(payloads: DataFrame, fmt: str | None = None, mode: str = "failfast", keep_order: bool = False) -> MetricTables:
