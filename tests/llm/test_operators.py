@@ -357,6 +357,27 @@ def test_decontamination(spark, empty):
     assert all(not x._items for x in op9.find_leaks(docs.limit(5), bench.limit(0)).collect())
 
 
+def _words_of(seed, n=3000):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7))) for _ in range(n)]
+    return lambda k: [r.choice(vocabulary) for _ in range(k)]
+
+
+def _found(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    return {(x.doc_id, q) for x in op9.find_leaks(docs, bench).collect() for q in x._items}
+
+
+def test_decontamination_lengths(spark):
+    """Items far longer than a passage, and items of a few words."""
+    make = _words_of(11)
+    items = [make(n) for n in (1200, 700, 260, 6, 3, 7)]
+    long = [x if k % 3 or k > 254 else "other" for k, x in enumerate(items[2])]
+    texts = [make(30) + items[0] + make(40), make(55) + items[1], make(35) + long + make(20), make(50) + items[3] + make(9), items[4], make(20) + items[5], make(300), items[3][:5] + make(40)]
+    assert _found(spark, texts, items) == {(i, i) for i in range(6)}
+
+
 def test_quality(docs, odd, empty, rows):
     got = _get(op10.score_quality(docs))
     for i, t, *_ in rows:
