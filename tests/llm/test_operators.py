@@ -378,6 +378,14 @@ def test_decontamination_lengths(spark):
     assert _found(spark, texts, items) == {(i, i) for i in range(6)}
 
 
+def test_decontamination_many_items(spark):
+    """Paraphrases of short items are found in a benchmark of more blocks than the basis has directions."""
+    make = _words_of(12)
+    items = [make(15) if i % 4 == 0 else make(118) for i in range(198)]
+    texts = [make(70) + [x if k > 9 or k not in (0, 2, 4, 6, 8, 9) else "other" for k, x in enumerate(q)] + make(70) for q in items[::4]]
+    assert _found(spark, texts, items) == {(i, 4 * i) for i in range(len(texts))}
+
+
 def test_quality(docs, odd, empty, rows):
     got = _get(op10.score_quality(docs))
     for i, t, *_ in rows:
