@@ -69,7 +69,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("_items") == 0).select(*docs.columns)
 
 

@@ -386,6 +386,22 @@ def test_decontamination_many_items(spark):
     assert _found(spark, texts, items) == {(i, 4 * i) for i in range(len(texts))}
 
 
+def test_decontamination_changed_tails(spark):
+    """Paraphrases keep 60 to 80% of the words, not the last ones; words of an item strewn over a text are no leak."""
+    make, r = _words_of(13), random.Random(13)
+    items = [make(r.randint(12, 59)) for _ in range(30)]
+    texts = []
+    for i, q in enumerate(items):
+        n, w = len(q), list(q)
+        lost = int(n * (0.22 + 0.18 * i / 30))
+        for k in [n - 1, n - 3, *r.sample(sorted({*range(n)} - {n - 1, n - 3}), lost - 2)]:
+            w[k] = "other"
+        texts.append(make(60) + w + make(60))
+    strewn = [y for k, x in enumerate(items[0]) for y in ([x, *make(3)] if k % 3 else make(4))]
+    got = _found(spark, [*texts, make(20) + strewn], items)
+    assert got <= {(i, i) for i in range(30)} and len(got) >= 28
+
+
 def test_quality(docs, odd, empty, rows):
     got = _get(op10.score_quality(docs))
     for i, t, *_ in rows:
