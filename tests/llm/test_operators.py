@@ -402,6 +402,23 @@ def test_decontamination_changed_tails(spark):
     assert got <= {(i, i) for i in range(30)} and len(got) >= 28
 
 
+def test_latent_basis_is_of_the_corpus(spark):
+    """Words of one topic lie close in the basis, whatever the benchmark; a text that many rows share counts once."""
+    r = random.Random(14)
+    topics = [["".join(r.choice("klmnopqr") for _ in range(6)) for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(r.choice(t) for _ in range(48)) for t in topics for _ in range(60)]
+    docs = spark.createDataFrame([(x,) for x in texts + texts[:1] * 300], "text string")
+    make = _words_of(15)
+    items = spark.createDataFrame([(" ".join(make(48)),) for _ in range(120)], "text string")
+    idf = op9.passage_idf(docs)
+    basis = op9.latent_basis(docs, items, idf, 300, rank=48)
+    words = [op9.Items.read(" ".join(t[a : a + 20]))[1] for t in topics for a in (0, 20)]
+    v = [(idf[f] * basis[f].T).sum(1) for f in words]
+    assert all(np.linalg.norm(x) > 0.3 * np.linalg.norm(idf[f]) for x, f in zip(v, words))
+    v = [x / np.linalg.norm(x) for x in v]
+    assert all(v[2 * i] @ v[2 * i + 1] > max(v[2 * i] @ v[2 * j + 1] for j in range(6) if j != i) for i in range(6))
+
+
 def test_quality(docs, odd, empty, rows):
     got = _get(op10.score_quality(docs))
     for i, t, *_ in rows:
