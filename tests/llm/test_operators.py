@@ -411,14 +411,21 @@ def test_latent_basis_is_of_the_corpus(spark):
     make = _words_of(15)
     items = spark.createDataFrame([(" ".join(make(48)),) for _ in range(120)], "text string")
     idf = op9.passage_idf(docs)
-    basis = op9.latent_basis(docs, items, idf, 300, rank=48)
+    slot, _, wide, turn = op9.latent_basis(docs, items, idf, 300, rank=48)
+    basis = wide.value @ turn
     words = [op9.Items.read(" ".join(t[a : a + 20]))[1] for t in topics for a in (0, 20)]
-    v = [(idf[f] * basis[f].T).sum(1) for f in words]
+    v = [(idf[f] * basis[slot[f]].T).sum(1) for f in words]
     assert all(np.linalg.norm(x) > 0.3 * np.linalg.norm(idf[f]) for x, f in zip(v, words))
     v = [x / np.linalg.norm(x) for x in v]
     assert all(v[2 * i] @ v[2 * i + 1] > max(v[2 * i] @ v[2 * j + 1] for j in range(6) if j != i) for i in range(6))
 
 
+def test_features_follow_the_vocabulary():
+    """Few words of a large vocabulary share a feature, so rare words keep their weight."""
+    _, f = op9.Items.read(" ".join(f"w{i}" for i in range(20_000)))
+    assert len(np.unique(f)) > 0.95 * 20_000
+
+
 def test_quality(docs, odd, empty, rows):
     got = _get(op10.score_quality(docs))
     for i, t, *_ in rows:
