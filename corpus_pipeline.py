@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm._io import drop_scratch, made_since, materialize, scratch_root, table
+from tidemark.llm._io import drop_scratch, made_since, materialize, scratch_root, table, with_ref
 from tidemark.llm.op5_suffix_array_dedup import dedup_substrings
 from tidemark.llm.op7_ngram_jaccard_join import jaccard_components
 from tidemark.llm.op8_packing import pack
@@ -48,14 +48,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word shingles of five at 0.8 or more: the one of the smallest id.
 
-    Of rows that share that id, one row is kept.
+    Rows are told apart by id and text, so rows that share an id or have none are kept unless their texts are near copies.
     """
-    group = jaccard_components(docs, n=5, percent=80).select("doc_id", "component_id").distinct()
-    kept = group.where("doc_id = component_id or doc_id is null and component_id is null").select("doc_id")
-    kept = materialize(kept, "kept")
-    one = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return one if ids[0] == ids[1] else one.dropDuplicates(["doc_id"])
+    named = with_ref(docs)
+    group = jaccard_components(named.select("_ref", "text"), "_ref", n=5, percent=80).select("_ref", "component_id").distinct()
+    kept = materialize(group.where("_ref = component_id").select("_ref"), "kept")
+    one = named.join(kept, "_ref", "left_semi")
+    refs = named.agg(F.count("*"), F.count_distinct("_ref")).first()
+    return (one if refs[0] == refs[1] else one.dropDuplicates(["_ref"])).select(*docs.columns)
 
 
 @stage

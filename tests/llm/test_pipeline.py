@@ -44,3 +44,13 @@ def test_pipeline(spark, sf, tmp_path):
     order = sorted(clean)
     want = dict(zip(order, _ids("byte_bpe_50k.json", [clean[i] for i in order], 0)))
     assert _check_pieces(held["packing"].collect(), want) < 1024
+
+
+def test_near_duplicates_by_id_and_text(spark, sf):
+    """Different texts that share an id, or have none, all stay; their copies go."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(1, a), (5, b), (5, c), (None, d), (None, e), (7, c), (5, a), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text) for x in got.collect()) == sorted([(1, a), (5, b), (5, c), (0, d), (0, e)])
