@@ -114,6 +114,16 @@ def test_licenses(spark, odd, empty):
     assert op2.scan_licenses(odd).count() == odd.count() and op2.scan_licenses(empty).count() == 0
 
 
+def test_long_and_open_templates(spark):
+    """Templates of more than 128 words, and such that open with optional or replaceable words."""
+    full = " ".join(f"w{i}" for i in range(400))
+    templates = [("full", full), ("option", "[[the]] quick [[red]] fox"), ("free", "{{2}} lazy dog")]
+    texts = ["x " + full + " y", full[:-4], "a quick fox", "the quick red fox", "so lazy dog", "lazy dog", "the fox"]
+    got = _get(op2.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={}, templates=templates))
+    assert [got[i].labels for i in range(7)] == ["full", "", "option", "option", "free", "free", ""]
+    assert [got[i].template_words for i in range(7)] == [400, 0, 2, 4, 3, 2, 0]
+
+
 def test_template_markup():
     t = op2.Template("x", "a [[b [[c]]]] {{2}} d")
     ids = {w: int(op2.tokens(w)[0]) for w in "abcdz"}

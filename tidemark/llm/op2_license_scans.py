@@ -3,8 +3,8 @@
 A template is wording with two kinds of markup: ``[[ ... ]]`` encloses optional
 wording and ``{{n}}`` stands for up to n replaceable words.  It is compiled to an
 automaton over word hashes; a text is accepted where all mandatory wording
-matches exactly, word for word.  Only places where a template's first word
-stands are tried, and they are found with numpy.
+matches exactly, word for word.  Only places where a word stands that a
+template may open with are tried (all places, if it may open with any word), and they are found with numpy.
 
 Base phrases are templates without markup; every place counts.  Nulls and empty
 texts have no words and no labels.  One result row per input row.
@@ -39,6 +39,7 @@ TEMPLATES = (
     ("mit", "released under [[the]] mit license"),
     ("mit", "licensed under [[the]] mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mpl-2.0", "mozilla public license [[version]] [[v]] 2 0"),
     ("spdx", "spdx license identifier {{3}}"),
 )
@@ -76,7 +77,9 @@ class Template:
                 self.lit.setdefault(self.n, []).append((int(tokens(part)[0]), self.n + 1))
                 self.n += 1
                 self.mandatory += not opened
-        self.start = self.lit[0][0][0]
+        first = self.closure({0})
+        self.starts = {x for s in first for x, _ in self.lit.get(s, ())}
+        self.any = any(s in self.free for s in first)
 
     def closure(self, states: set[int]) -> set[int]:
         todo = list(states)
@@ -113,9 +116,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         plain = [(tokens(p), label) for p, label in phrases.items()]
         autos: dict[int, list[Template]] = {}
+        anywhere = []
         for label, markup in templates:
             t = Template(label, markup)
-            autos.setdefault(t.start, []).append(t)
+            if t.any:
+                anywhere.append(t)
+                continue
+            for x in t.starts:
+                autos.setdefault(x, []).append(t)
         starts = np.array(sorted(autos), np.uint64)
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(1)):
@@ -139,13 +147,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     np.maximum.at(last, r, at - row[r])
                     for i in set(r.tolist()):
                         found.setdefault(i, set()).add(label)
-                at = np.flatnonzero(np.isin(h, starts))
+                at = np.arange(len(h)) if anywhere else np.flatnonzero(np.isin(h, starts))
+                every = h.tolist() if len(at) else []
                 rows = np.searchsorted(row, at, "right") - 1
                 for i, r in zip(at.tolist(), rows.tolist()):
                     end = int(row[r + 1])
-                    near = h[i : min(end, i + 128)].tolist()
-                    for t in autos[near[0]]:
-                        if size := t.match(near, 0, len(near)):
+                    for t in [*autos.get(every[i], ()), *anywhere]:
+                        if size := t.match(every, i, end):
                             more.setdefault(r, set()).add(t.label)
                             longest[r] = max(longest[r], size)
                 none = n_base == 0
