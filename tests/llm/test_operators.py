@@ -215,6 +215,59 @@ def test_suffix_array_dedup(docs, odd, empty, rows):
     assert op5.dedup_substrings(empty, digest=True).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 1 << 30])
+def test_repeats_of_common_anchors(spark, hot):
+    """A passage in thousands of contexts: windows dealt one by one give what shards give, and what brute force gives."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(r.randint(2, 8))), *([passage[r.randint(0, 80) :]] if i % 8 else []), *(word() for _ in range(r.randint(2, 8)))]) for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts = collections.Counter(b[p : p + 200] for t in texts for b in [t.encode()] for p in range(len(b) - 199))
+    got = _get(op5.dedup_substrings(docs, digest=True, hot=hot))
+    for i, t in enumerate(texts):
+        b, gone = _removed(t, counts, 200)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest()), i
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t)
+        gone = [0] * len(w)
+        for p in range(len(w) - 19):
+            if (k := tuple(w[p : p + 20])) in seen:
+                gone[p : p + 20] = [1] * 20
+            seen.add(k)
+        want[i] = hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()
+    assert {x.doc_id: x.kept_sha256 for x in op6.dedup_windows(docs, hot=hot).collect()} == want
+
+
+def test_hot_anchors_are_found(spark):
+    from tidemark.llm import _repeats
+
+    texts = ["x" * 300 + f"{i:05d}" + "y" * 20 + f"{i * 7919 % 50000:05d}" + "z" * 300 for i in range(6000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    units = _repeats.Units("byte", 200, 32)
+    some = _repeats.hot_anchors(docs, units, "text", sum(map(len, texts)), 512)
+    assert 0 < len(some) < 100 and (np.diff(some.astype(object)) > 0).all()
+    assert len(_repeats.hot_anchors(docs, units, "text", 1000, 512)) == 0
+
+
+CLASHES = ["_ref", "_id", "_a", "_b", "_k1", "_k2", "_want", "_ranges", "n_spans", "n_removed", "_items", "_lcs", "_candidates", "row", "id", "ref", "component_id", "k", "n", "a.b", "_row"]
+
+
+def test_clashing_columns(spark, rows):
+    """Extra columns of any name are kept, on unique and on repeated ids."""
+    base = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    for docs in (base, base.union(base.limit(3))):
+        named = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+        for out, made in ((op5.dedup_substrings(named), {"n_removed", "n_spans"}), (op9.find_leaks(named, spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")), {"_items", "_lcs", "_candidates"}), (op10.filter_quality(named), set())):
+            assert [c for c in out.columns if c not in made] == [c for c in named.columns if c not in made]
+            got = out.select("doc_id", *(F.col(f"`{c}`") for c in CLASHES if c not in made)).collect()
+            assert len(got) > 0 and all(x[1 + j] == f"{c}{x.doc_id}" for x in got for j, c in enumerate(c for c in CLASHES if c not in made))
+        for out in (op6.dedup_windows(named), op7.jaccard_components(named), op8.pack(named, P.path("byte_bpe_50k.json"), 0), op2.scan_licenses(named), op10.score_quality(named)):
+            assert out.count() > 0
+
+
 def test_maximal_repeats():
     strings = [b"xxabcdefgh1", b"yyabcdefgh2", b"zzabcdeQ", b"abcdefg"]
     text, starts, ends = op5.joined(strings)

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset and Spark is local (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,6 +48,22 @@ def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): all columns but the text are one struct, so no name of theirs meets a name of ours."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*rest).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+
+
+def unpacked_rows(out: DataFrame, columns: list[str], text_col: str, made: list[str]) -> DataFrame:
+    """The columns of ``packed_rows`` again, then those in ``made``, which replace columns of the same name."""
+    back = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns if c not in made]
+    return out.select(*back, *made)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts (one cheap JVM scan)."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])

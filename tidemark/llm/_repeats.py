@@ -16,7 +16,11 @@
 
 The two exchanges that carry weight (packed segments by bucket, texts by
 reference) are each read twice in the plan and reused.  A bucket's size is set
-from the bytes of all texts.
+from the bytes of all texts, so their number grows with the input; its strings
+are solved in ``SHARDS`` shards.  An anchor that stands in very many different
+contents (the edge of a passage that many rows share) would gather all of them
+in one task: such anchors are found first, and their windows are dealt one by
+one, by their own content (``hot_anchors``).
 """
 
 from __future__ import annotations
@@ -26,12 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._io import buckets, text_bytes
-from ._vec import BYTE, U, mix, ngrams, powers, row_starts, sliding_argmin, span_hash, text_slices, words
+from ._io import buckets, materialize, text_bytes
+from ._vec import BYTE, SLICE, U, mix, ngrams, powers, row_starts, runs, sliding_argmin, span_hash, text_slices, words
 
 FLUSH = 1_500_000
+#: Different contents of an anchor from which its windows are dealt one by one, one content in SAMPLE looked at, and the most such anchors (64 MB when sent to tasks).
+HOT, SAMPLE, HOT_MOST = 8192, 64, 1 << 23
+#: Bytes of text a bucket stands for, and shards of strings in a bucket.
+BUCKET, SHARDS = 16 << 20, 8
 _ANCHOR = [("h", "<u8"), ("r", "<i8"), ("c", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("m", "u1")]
 _DONE = [("dr", "<i8"), ("dlo", "<u4"), ("dn", "<u4")]
 
@@ -55,8 +64,12 @@ class Units:
         """Units as they are shipped: bytes, or word hashes."""
         return (buf, off) if self.kind == "byte" else self.read(buf, off)
 
-    def segments(self, buf: np.ndarray, off: np.ndarray):
-        """Row, anchor hash, content hash, first window (in its row), windows of each segment."""
+    def segments(self, buf: np.ndarray, off: np.ndarray, hot: np.ndarray | None = None):
+        """Row, anchor hash, content hash, first window (in its row), windows of each segment.
+
+        The windows of an anchor in ``hot`` (sorted) are segments of their own,
+        and each one's own content takes the place of the anchor.
+        """
         v, row = self.read(buf, off)
         if len(v) < self.length:
             return None
@@ -73,8 +86,50 @@ class Units:
         r = np.searchsorted(row, at, "right") - 1
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))))
         n = np.diff(np.append(first, len(at)))
-        lo = at[first]
-        return r[first], g[a[first]], span_hash(sums, lo, lo + n - 1 + self.length), lo - row[r[first]], n
+        lo, r, h = at[first], r[first], g[a[first]]
+        split = np.zeros(len(h), bool)
+        if hot is not None and len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        if split.any():
+            each = n[split]
+            one = np.repeat(lo[split] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            own = mix(span_hash(sums, one, one + self.length) + U(0xD6E8FEB86659FD93))
+            r, h = np.concatenate((r[~split], np.repeat(r[split], each))), np.concatenate((h[~split], own))
+            lo, n = np.concatenate((lo[~split], one)), np.concatenate((n[~split], np.ones(len(one), n.dtype)))
+        return r, h, span_hash(sums, lo, lo + n - 1 + self.length), lo - row[r], n
+
+
+def _sampled(units: Units):
+    """(anchor, content) of one content in ``SAMPLE``."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, off in text_slices(batch.column(0)):
+                if (got := units.segments(buf, off)) is not None:
+                    pick = mix(got[2]) >> U(64 - SAMPLE.bit_length() + 1) == 0
+                    pairs = np.unique(np.column_stack((got[1][pick], got[2][pick])), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["h", "c"])
+
+    return run, "h long, c long"
+
+
+def hot_anchors(docs: DataFrame, units: Units, text: str, total: int, hot: int) -> np.ndarray:
+    """Anchors that stand in about ``hot`` different contents or more, sorted; HOT_MOST of them at most.
+
+    The contents are sampled by their hash, so all places of a content count as
+    one.  Where more anchors are that common, the bound doubles until
+    they fit: it stays below twice the total of contents over HOT_MOST.  What is found
+    decides only how work is split, never a result.
+    """
+    if total < hot * units.length:
+        return np.zeros(0, U)
+    run, schema = _sampled(units)
+    counted = docs.select(text).mapInArrow(run, schema).distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, hot // SAMPLE))
+    counted = materialize(counted, "anchors")
+    least = max(2, hot // SAMPLE)
+    while counted.where(F.col("n") >= least).count() > HOT_MOST:
+        least *= 2
+    return np.sort(counted.where(F.col("n") >= least).select("h").toArrow()["h"].to_numpy().view(U))
 
 
 def _bucket(h: np.ndarray, count: int) -> np.ndarray:
@@ -129,7 +184,7 @@ def _doubled(h: np.ndarray, m: np.ndarray | None = None) -> np.ndarray:
     return out if m is None else out | (m > 1)
 
 
-def _mark(units: Units, count: int, once: bool):
+def _mark(units: Units, count: int, once: bool, hot):
     names = ["bucket", *(x for x, _ in _ANCHOR), *(x for x, _ in _DONE)]
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -165,7 +220,7 @@ def _mark(units: Units, count: int, once: bool):
         for batch in batches:
             ref = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, buf, off in text_slices(batch.column(1)):
-                if (got := units.segments(buf, off)) is None:
+                if (got := units.segments(buf, off, hot.value)) is None:
                     continue
                 r, h, c, lo, n = got
                 held.append((h, ref[a:b][r], c, lo, n))
@@ -194,7 +249,7 @@ def _wanted(t: pa.Table, several: bool) -> pa.Table:
 
 
 def _fetch(units: Units, count: int, place: int):
-    """Rows (bucket, h, c, ref, lo, n, m, content) of the segments asked for; columns: ..., text at ``place``, want last."""
+    """Rows (shard, h, c, ref, lo, n, m, content) of the segments asked for; columns: ..., text at ``place``, want last."""
 
     def run(batches):
         for batch in batches:
@@ -209,16 +264,20 @@ def _fetch(units: Units, count: int, place: int):
                 end = at + get("n") - 1 + units.length
                 raw, size = v.tobytes(), v.itemsize
                 content = [raw[i * size : j * size] for i, j in zip(at.tolist(), end.tolist())]
-                bucket = _bucket(get("h").view(U), count).astype(np.int32)
+                shard = _bucket(get("h").view(U), count).astype(np.int32)
                 for i in range(0, len(content), 4096):
                     j = slice(i, i + 4096)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[j]), *(x.field(k).slice(i, 4096) for k in ("h", "c", "ref", "lo", "n", "m")), pa.array(content[j], pa.binary())], ["bucket", "h", "c", "ref", "lo", "n", "m", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[j]), *(x.field(k).slice(i, 4096) for k in ("h", "c", "ref", "lo", "n", "m")), pa.array(content[j], pa.binary())], ["shard", "h", "c", "ref", "lo", "n", "m", "content"])
 
-    return run, "bucket int, h long, c long, ref long, lo int, n int, m int, content binary"
+    return run, "shard int, h long, c long, ref long, lo int, n int, m int, content binary"
 
 
 def _solved(solve: Callable):
-    """One row per bucket: hashes, contents and window masks of the strings that have repeated windows."""
+    """One row per shard: hashes, contents and window masks of the strings that have repeated windows.
+
+    Only strings of one anchor are compared, so a shard is solved in slices of
+    whole anchors of about SLICE bytes.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -227,15 +286,33 @@ def _solved(solve: Callable):
         same = np.logical_and.reduce([cols[k][order][1:] == cols[k][order][:-1] for k in ("h", "ref", "lo")])
         order = order[np.concatenate(([True], ~same))]  # rows that were there again
         cols = {k: v[order] for k, v in cols.items()}
-        content = t["content"].take(pa.array(order)).to_pylist()
-        masks = solve(cols, content)
-        hit = [i for i, x in enumerate(masks) if x is not None and x.any()]
-        data = b"".join(np.packbits(masks[i]).tobytes() for i in hit)
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "h": [cols["h"][hit].tobytes()], "c": [cols["c"][hit].tobytes()], "n": [cols["n"][hit].astype("<i4").tobytes()], "masks": [data]}, schema=pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("n", pa.binary()), ("masks", pa.binary())]))
+        size = np.cumsum(pc.binary_length(t["content"]).to_numpy()[order].astype(np.int64))
+        heads = np.append(np.flatnonzero(np.concatenate(([True], cols["h"][1:] != cols["h"][:-1]))), len(order))
+        hits, data, i = [], [], 0
+        while i < len(order):
+            full = int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE, "right"))
+            j = int(heads[max(np.searchsorted(heads, full, "right") - 1, np.searchsorted(heads, i, "right"))])
+            masks = solve({k: v[i:j] for k, v in cols.items()}, t["content"].take(pa.array(order[i:j])).to_pylist())
+            hit = [k for k, x in enumerate(masks) if x is not None and x.any()]
+            hits.extend(i + k for k in hit)
+            data.extend(np.packbits(np.append(masks[k], False)).tobytes() for k in hit)
+            i = j
+        return pa.table({"bucket": pa.array([t["shard"][0].as_py() // SHARDS], pa.int32()), "h": [cols["h"][hits].tobytes()], "c": [cols["c"][hits].tobytes()], "n": [cols["n"][hits].astype("<i4").tobytes()], "masks": [b"".join(data)]}, schema=pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("n", pa.binary()), ("masks", pa.binary())]))
 
     return run, "bucket int, h binary, c binary, n binary, masks binary"
 
 
+def _verdict_runs(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of the string, first window and windows of each run of repeated windows."""
+    x = _load(right, [("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("masks", "u1")])
+    wide = (x["n"].astype(np.int64) + 8) // 8 * 8  # each mask ends with a zero at least
+    stops = np.cumsum(wide)
+    starts, ends = runs(np.unpackbits(x["masks"]).astype(bool))
+    string = np.searchsorted(stops, starts, "right")
+    key = mix(x["h"]) ^ x["c"]
+    return key[string], starts - (stops - wide)[string], ends - starts
+
+
 def _applied(first_stays: bool):
     """Ranges of repeated windows per row, from a bucket's places and its verdicts."""
 
@@ -247,33 +324,26 @@ def _applied(first_stays: bool):
         cols, first = _sorted_groups({k: v[keep] for k, v in cols.items()}, first_stays)
         if len(first):
             size = np.diff(np.append(first, len(cols["h"])))
-            head = np.zeros(len(cols["h"]), bool)
-            head[first] = True
-            verdict = {}
-            if right.num_rows:
-                x = {k: np.frombuffer(right[k][0].as_buffer(), kind) for k, kind in (("h", "<u8"), ("c", "<u8"), ("n", "<i4"), ("masks", "u1"))}
-                at = np.concatenate(([0], np.cumsum((x["n"] + 7) // 8)))
-                verdict = {(a, b): (i, j, k) for a, b, i, j, k in zip(x["h"].tolist(), x["c"].tolist(), at.tolist(), at[1:].tolist(), x["n"].tolist())}
             if first_stays:  # every further place of a string repeats its first one whole
-                r.append(cols["r"][~head])
-                lo.append(cols["lo"][~head].astype(np.int64))
-                n.append(cols["n"][~head].astype(np.int64))
-            more = [[], [], []]
-            hs, cs, rs, los = (cols[k].tolist() for k in ("h", "c", "r", "lo"))
-            for f, s in zip(first.tolist(), size.tolist()):
-                if (v := verdict.get((hs[f], cs[f]))) is None:
-                    continue
-                i, j, k = v
-                mask = np.unpackbits(x["masks"][i:j], count=k)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
-                for p in range(f, f + 1 if first_stays else f + s):
-                    for a, b in zip(edge[::2], edge[1::2]):
-                        more[0].append(rs[p])
-                        more[1].append(los[p] + a)
-                        more[2].append(b - a)
-            for to, xs in zip((r, lo, n), more):
-                to.append(np.array(xs, np.int64))
-        r, lo, n = merge_ranges(np.concatenate(r).astype(np.int64), np.concatenate(lo), np.concatenate(n))
+                rest = np.ones(len(cols["h"]), bool)
+                rest[first] = False
+                r.append(cols["r"][rest])
+                lo.append(cols["lo"][rest].astype(np.int64))
+                n.append(cols["n"][rest].astype(np.int64))
+                size = np.ones(len(first), np.int64)
+            if right.num_rows:
+                key, begin, many = _verdict_runs(right)
+                own = mix(cols["h"][first]) ^ cols["c"][first]
+                order = np.argsort(own)
+                group = order[np.minimum(np.searchsorted(own, key, sorter=order), len(own) - 1)]
+                there = own[group] == key
+                group, begin, many = group[there], begin[there], many[there]
+                each = size[group]
+                place = np.repeat(first[group] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                r.append(cols["r"][place])
+                lo.append(cols["lo"][place] + np.repeat(begin, each))
+                n.append(np.repeat(many, each))
+        r, lo, n = merge_ranges(np.concatenate(r).astype(np.int64), np.concatenate(lo).astype(np.int64), np.concatenate(n).astype(np.int64))
         ends = np.column_stack((lo, lo + n)).astype("<u4")
         cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
         return pa.table({"ref": pa.array(r[cut]), "ranges": pa.array([ends[i:j].tobytes() for i, j in zip(cut.tolist(), np.append(cut[1:], len(r)).tolist())], pa.binary())})
@@ -281,24 +351,25 @@ def _applied(first_stays: bool):
     return run, "ref long, ranges binary"
 
 
-def repeated_windows(docs: DataFrame, units: Units, solve: Callable, first_stays: bool, text: str = "text") -> DataFrame:
-    """``docs`` (with ``_ref``) plus ``_ranges``: array of packed (start, end) window ranges that are repeated.
+def repeated_windows(docs: DataFrame, units: Units, solve: Callable, first_stays: bool, hot: int = HOT) -> DataFrame:
+    """``docs`` (row, id, text, _ref) plus ``_ranges``: array of packed (start, end) window ranges that are repeated.
 
     ``first_stays``: only windows that also start earlier count, so a string's
     first place keeps what ``solve`` does not mark.
     """
-    count = min(buckets(text_bytes(docs, text), 8 << 20), 1 << 18)
-    run, schema = _mark(units, count, first_stays)
-    marked = docs.select("_ref", text).mapInArrow(run, schema)
+    total = text_bytes(docs)
+    count = buckets(total, BUCKET)
+    common = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, units, "text", total, hot))
+    run, schema = _mark(units, count, first_stays, common)
+    marked = docs.select("_ref", "text").mapInArrow(run, schema)
     wanted = marked.groupBy("bucket").applyInArrow(lambda t: _wanted(t, first_stays), "ref long, h long, c long, lo int, n int, m int")
     asked = wanted.groupBy("ref").agg(F.collect_list(F.struct("h", "c", "ref", "lo", "n", "m")).alias("_want")).withColumnRenamed("ref", "_ref")
-    place = docs.columns.index(text)
     ordered = docs.where("_ref is not null")  # never is; both joins then ask for one and the same exchange
     first = ordered.join(asked.hint("shuffle_merge"), "_ref").select(*docs.columns, "_want")
-    run, schema = _fetch(units, count, place)
+    run, schema = _fetch(units, count * SHARDS, docs.columns.index("text"))
     strings = first.mapInArrow(run, schema)
     run, schema = _solved(solve)
-    verdicts = strings.groupBy("bucket").applyInArrow(run, schema)
+    verdicts = strings.groupBy("shard").applyInArrow(run, schema)
     run, schema = _applied(first_stays)
     ranges = marked.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(run, schema)
     found = ranges.groupBy("ref").agg(F.collect_list("ranges").alias("_ranges")).withColumnRenamed("ref", "_ref")

@@ -11,7 +11,9 @@ streamed through it, and the matching statistics tell where each window of
 
 Order: by id, then start; null ids last; rows of one id and different texts by
 the hash of the text; fully repeated rows are one document.  Nulls are empty;
-texts of fewer than ``length`` words lose nothing.
+texts of fewer than ``length`` words lose nothing; a text of any length is cut
+into strings of at most ``2 * length - k`` words.  An empty table gives an empty
+result; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._io import with_ref
-from ._repeats import Units, covered, repeated_windows
+from ._io import quoted, with_ref
+from ._repeats import HOT, Units, covered, repeated_windows
 from ._vec import NOT_SPACE, spans, text_slices
 
 
@@ -119,11 +121,12 @@ def solver(length: int):
     return solve
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5, with_text: bool = False) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """id, n_words, n_removed, kept_sha256; ``with_text`` adds the kept words joined by one space."""
-    keyed = with_ref(docs.select(id_col, text_col), id_col, text_col)
-    ranged = repeated_windows(keyed, Units("word", length, k), solver(length), first_stays=True, text=text_col).select(id_col, text_col, "_ranges")
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    kind = docs.select(F.col(quoted(id_col))).dtypes[0][1]
+    keyed = with_ref(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "id", "text")
+    ranged = repeated_windows(keyed, Units("word", length, k), solver(length), first_stays=True, hot=hot).select("id", "text", "_ranges")
+    schema = f"{quoted(id_col)} {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches):
         for batch in batches:
