@@ -74,6 +74,28 @@ def buckets(total: int, each: int) -> int:
     return max(8, math.ceil(total / each))
 
 
+#: Keys of a table that a join may send to all tasks: those that hold more than a share of the rows, so few by number.
+HEAVY = 1 << 14
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
+    """Join whose ``left`` may have very many rows of a key; ``right`` has few of any.
+
+    Keys of more than ``least`` rows and of more than one row in HEAVY (so HEAVY
+    keys at most) are joined by a broadcast of their rows of ``right``; the rest
+    by shuffle.  Both sides are read more than once.
+    """
+    total = left.count()
+    if total <= least:
+        return left.join(right, on, how)
+    heavy = materialize(left.groupBy(*on).agg(F.count("*").alias("c")).where(F.col("c") > max(least, total // HEAVY)).select(*on), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(heavy)
+    hot = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
+    return hot.unionByName(left.join(few, on, "left_anti").join(right, on, how))
+
+
 def with_ref(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``_ref``: a long that names a (id, text) pair and is ordered as the ids are, nulls last.
 

@@ -3,41 +3,61 @@
 1. One pass gives each document its set size and a 128-bit signature of its set;
    equal sets are one class, represented by their smallest reference.  The pass
    also counts shingles into a sketch of fixed size (2**20 counters, 1 MB when
-   sent to tasks): shingles well above the usual count are frequent.
-2. A second pass sorts each set rare first and sends its prefix, packed by
-   bucket of the shingle.  Buckets drop shingles of one class only.
-3. Each shingle's classes are first linked with one hub, after length and
-   positional filters, so pairs are linear in the group; a second round takes
-   another hub for each shingle whose classes are still in several components.  Pairs
-   are verified once, suffix filter first, in groups of hub and salt.  Classes
-   that are joined already need no further link; all remaining pairs of
-   different components that share a prefix shingle are verified in a last
-   round, so no link that matters is lost.
-   Before sets are fetched, both pairs' parity bitmaps (1024 bits over the whole
-   set) are compared: they never differ in more bits than the sets in shingles,
-   so a pair whose bitmaps differ in too many bits cannot link.
-4. Components by alternating stars.
+   sent to tasks), which only tells the very common ones (``hot``) apart.
+2. All other shingles go to buckets by their hash, packed, and are counted there
+   exactly: the order is by document frequency at any size of input.  A shingle
+   of one document joins nothing, so it only takes its place in the order; the
+   rest go back to their documents, where each class cuts its prefix: shingles of
+   one document first, then by frequency, hot ones last.
+3. Prefixes are joined by shingle.  Each shingle's hub is the class that has the
+   fewest rarer shingles before it, the middle of a family of near copies rather
+   than one of its members; all its other classes are paired with the hub alone.
+4. Where classes of a shingle are still in different components, those outside
+   the largest one are held against all others of the shingle, in parts of
+   bounded size; pairs of one component need no further look.  No pair that the
+   filters let through is left out, so no link that matters is lost.
+5. In both rounds length, prefix and positional filters come first, then parity
+   bitmaps (1024 bits over the whole set: they never differ in more bits than the
+   sets in shingles), then, on the sets themselves, the suffix filter and the
+   count.  Each pair is verified once.
+6. Components by alternating stars.
+
+Hot shingles, and hubs and classes of very many rows, are salted or joined by a
+broadcast of bounded size.  Tokens are hashes of 48 bits in the join: equal ones
+of different shingles only add pairs that are verified.
 
 Two sets link when ``100 * intersection >= percent * union``.  Null and empty
-texts have an empty set, link with nothing and are their own component.  Null ids
-sort last; rows that are fully repeated share a reference and a component.
+texts have an empty set, link with nothing and are their own component; texts of
+fewer than ``n`` words are one shingle; a text of any length is taken whole, in
+one task.  Null ids sort last; rows that are fully repeated share a reference and
+a component.  An empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._components import components
-from ._io import buckets, materialize, text_bytes, with_ref
+from ._io import buckets, materialize, quoted, skew_join, text_bytes, with_ref
 from ._vec import BYTE_LOWER, NOT_SPACE, U, mix, ngrams, row_starts, text_slices, words
 
 SLOTS = 1 << 20
 _BLOCK = 1 << 14
-_TOKEN = [("t", "<u8"), ("k", "<u8"), ("n", "<u4"), ("p", "<u4")]
-SALT = 256
 BITS = 1024
+#: Bytes of text whose shingles a bucket counts; shingles that a task packs at once.
+BUCKET, FLUSH = 8 << 20, 1_500_000
+#: A counter from which its shingles are hot (or eight times the usual one); salts of their rows.
+HOT, HOT_SALTS = 4096, 64
+#: Most classes of a shingle that are held against others at once, and most others in a part.
+LEFT, RIGHT = 4096, 1 << 16
+#: Pairs of a hub that are verified together, and most such parts of a hub.
+SALT, SALTS = 256, 4096
+_T = U(48)
+_FEW = (1 << 13) - 1
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int):
@@ -114,52 +134,158 @@ def _add_blocks(t: pa.Table) -> pa.Table:
     return pa.table({"block": t["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def frequency_levels(described: DataFrame) -> np.ndarray:
-    """0 for usual counters, else twice the binary logarithm of how far they stand above the median (1 MB)."""
+def hot_levels(described: DataFrame) -> np.ndarray:
+    """0 for counters that are not hot, else about the binary logarithm of the counter (1 MB)."""
     total = np.zeros(SLOTS, np.uint64)
     for x in described.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect():
         total[x.block * _BLOCK : (x.block + 1) * _BLOCK] = np.frombuffer(x.counts, np.uint64)
-    usual = max(1.0, float(np.median(total[total > 0])) if total.any() else 1.0)
-    return np.clip(2 * np.log2(np.maximum(total, 1) / usual), 0, 127).astype(np.uint8)
+    usual = float(np.median(total[total > 0])) if total.any() else 0.0
+    return np.where(total >= max(HOT, 8 * usual), 1 + np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
 
 
-def _prefixes(n: int, percent: int, levels, count: int):
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values by byte place, for compression."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _spread(x: np.ndarray, count: int) -> np.ndarray:
+    """Bucket by the top bits of 48."""
+    return ((x >> U(16)) * U(count)) >> U(32)
+
+
+def _home(ref: np.ndarray, count: int) -> np.ndarray:
+    return _spread(mix(ref.view(U) + U(3)) >> U(16), count).astype(np.int64)
+
+
+def _prefix_size(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _cut(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Values of sorted keys, and where each one's run begins and ends."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], list(zip(first.tolist(), np.append(first[1:], len(keys)).tolist()))
+
+
+_PACKED = "bucket int, a binary, b binary"
+
+
+def _packed(ids: np.ndarray, cut: list, a: np.ndarray, b: np.ndarray, delta: bool):
+    d = lambda x: np.diff(x, prepend=U(0)) if delta else x
+    for i in range(0, len(ids), 256):
+        part = cut[i : i + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 256].astype(np.int64), pa.int32()), pa.array([_planes(d(a[x:y])) for x, y in part], pa.binary()), pa.array([_planes(b[x:y]) for x, y in part], pa.binary())], ["bucket", "a", "b"])
+
+
+def _deal(n: int, percent: int, levels, count: int):
+    """Shingles that are not hot, by bucket; at ``count`` + home of the document: its number of hot ones and those its prefix needs."""
+
     def run(batches):
-        level, seen, held, size = levels.value, set(), [], 0
+        level, held, size = levels.value, [], 0
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            b = ((mix(cols[0]) >> U(32)) * U(count)) >> U(32)
-            order = np.argsort(b, kind="stable")
-            b, cols = b[order], [c[order].astype(t) for c, (_, t) in zip(cols, _TOKEN)]
-            ids = np.unique(b)
-            lo, hi = np.searchsorted(b, ids).tolist(), np.searchsorted(b, ids, "right").tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in zip(lo, hi)], pa.binary()) for c in cols)], ["bucket", *(x for x, _ in _TOKEN)])
+            t, ref = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(t)
+            t, ref = t[order], ref[order]
+            yield from _packed(*_cut(_spread(t, count)), t, ref.view(U), True)
 
         for batch in batches:
-            for _, _, buf, off in text_slices(batch.column(0)):
+            refs = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, buf, off in text_slices(batch.column(1)):
                 r, x, first = shingle_sets(buf, off, n)
-                key, _ = _sign(x, first)
-                sizes = np.diff(first)
-                fresh = np.zeros(len(sizes), bool)
-                for i, k in enumerate(key.tolist()):  # a set that this task has sent already is not sent again
-                    if sizes[i] and k not in seen:
-                        seen.add(k)
-                        fresh[i] = True
-                t = (level[(x >> U(44)).astype(np.int64)].astype(U) << U(56)) | (mix(x) >> U(8))
-                order = np.lexsort((t, r))
-                t = t[order]
-                p = np.arange(len(t)) - first[r]
-                keep = fresh[r] & (p < sizes[r] - (percent * sizes[r] + 99) // 100 + 1)
-                held.append((t[keep], key[r][keep], sizes[r][keep], p[keep]))
-                size += int(keep.sum())
-                if size >= 1_500_000:
+                if not len(r):
+                    continue
+                lvl, t, ref = level[(x >> U(44)).astype(np.int64)], mix(x) >> U(16), refs[a:b][r]
+                cool = lvl == 0
+                held.append((t[cool], ref[cool]))
+                size += int(cool.sum())
+                if not cool.all():
+                    warm = ~cool
+                    hr, w = r[warm], (U(1) << U(62)) | (lvl[warm].astype(U) << _T) | t[warm]
+                    order = np.lexsort((w, hr))
+                    hr, w = hr[order], w[order]
+                    many = np.bincount(hr, minlength=b - a)
+                    at = np.arange(len(hr)) - (np.cumsum(many) - many)[hr]
+                    sizes = np.diff(first)
+                    need = at < (_prefix_size(sizes, percent) - sizes + many)[hr]
+                    some = np.flatnonzero(many)
+                    owner = np.concatenate((hr[need], some))
+                    w = np.concatenate((w[need], (U(2) << U(62)) | many[some].astype(U)))
+                    ref = refs[a:b][owner]
+                    home = _home(ref, count)
+                    order = np.argsort(home)
+                    ids, cut = _cut(home[order])
+                    yield from _packed(ids + count, cut, ref[order].view(U), w[order], False)
+                if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
         if size:
             yield from flush()
 
-    return run, "bucket int, " + ", ".join(f"{x} binary" for x, _ in _TOKEN)
+    return run, _PACKED
+
+
+def _count(count: int):
+    """Shingles that stand in two documents or more, with their frequency, back to the homes of their documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if t["bucket"][0].as_py() >= count:
+            return t.set_column(0, "bucket", pa.array(t["bucket"].to_numpy() - count, pa.int32()))
+        tok = np.concatenate([np.cumsum(_unplanes(x), dtype=U) for x in t["a"]])
+        ref = np.concatenate([_unplanes(x) for x in t["b"]])
+        order = np.argsort(tok)
+        tok = tok[order]
+        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        size = np.diff(np.append(first, len(tok)))
+        freq = np.repeat(size, size)
+        keep = freq > 1
+        w = (np.minimum(freq[keep], _FEW).astype(U) << _T) | tok[keep]
+        ref = ref[order[keep]]
+        home = _home(ref.view(np.int64), count)
+        order = np.argsort(home)
+        parts = list(_packed(*_cut(home[order]), ref[order], w[order], False))
+        return pa.Table.from_batches(parts) if parts else t.slice(0, 0)
+
+    return run, _PACKED
+
+
+_TOKENS = "t long, k long, n int, p int, hot boolean"
+
+
+def _prefixes(percent: int):
+    """Prefix of each class: rows of its shingles that stand elsewhere too, with their places in its order."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("t", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("hot", pa.bool_())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ref = np.concatenate([_unplanes(x) for x in left["a"]]).view(np.int64)
+        w = np.concatenate([_unplanes(x) for x in left["b"]])
+        reps, sizes = right["ref"].to_numpy(), right["n"].to_numpy()
+        order = np.argsort(reps)
+        reps, sizes = reps[order], sizes[order]
+        at = np.minimum(np.searchsorted(reps, ref), len(reps) - 1)
+        mine = reps[at] == ref
+        at, w = at[mine], w[mine]
+        order = np.lexsort((w, at))
+        at, w = at[order], w[order]
+        kind = (w >> U(62)).astype(np.int64)
+        warm = np.zeros(len(reps), np.int64)
+        warm[at[kind == 2]] = (w[kind == 2] & U((1 << 62) - 1)).astype(np.int64)
+        at, w, kind = at[kind < 2], w[kind < 2], kind[kind < 2]
+        cool = np.bincount(at[kind == 0], minlength=len(reps))
+        begin = np.searchsorted(at, np.arange(len(reps)))
+        # single ones stand before these, so their places follow from the sizes
+        p = np.arange(len(at)) - begin[at] + (sizes - warm - cool)[at]
+        keep = p < _prefix_size(sizes[at], percent)
+        t = w & U((1 << 48) - 1) | (kind.astype(U) << _T)
+        return pa.table([pa.array(t[keep].view(np.int64)), pa.array(reps[at[keep]]), pa.array(sizes[at[keep]], pa.int32()), pa.array(p[keep], pa.int32()), pa.array(kind[keep] == 1)], schema=schema)
+
+    return run, _TOKENS
 
 
 def _passes(nx, ny, px, py, percent: int):
@@ -174,69 +300,87 @@ def _passes(nx, ny, px, py, percent: int):
     return (100 * small >= percent * big) & (at_small < index) & (1 + np.minimum(nx - px - 1, ny - py - 1) + np.minimum(px, py) >= need)
 
 
-def _hubs(percent: int):
-    """Rows of shingles that stand in two classes or more, with the hub; ``more``: three or more."""
+def _passes_column(percent: int):
+    """``_passes`` of columns n, p and hn, hp."""
+    small, big = F.least("n", "hn"), F.greatest("n", "hn")
+    at_small = F.when(F.col("n") == F.col("hn"), F.least("p", "hp")).when(F.col("n") > F.col("hn"), F.col("hp")).otherwise(F.col("p"))
+    need = F.ceil(percent * (F.col("n") + F.col("hn")) / F.lit(100 + percent))
+    index = small - F.ceil(2 * percent * small / F.lit(100 + percent)) + 1
+    return (100 * small >= percent * big) & (at_small < index) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("hn") - F.col("hp") - 1) + F.least("p", "hp") >= need)
 
-    def run(t: pa.Table) -> pa.Table:
-        cols = {k: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[k]]) for k, kind in _TOKEN}
-        order = np.lexsort((mix(cols["k"]), cols["t"]))
-        cols = {k: v[order].astype(np.int64) if k in "np" else v[order] for k, v in cols.items()}
-        tok, key = cols["t"], cols["k"]
-        new_t = np.concatenate(([True], tok[1:] != tok[:-1]))
-        new = new_t | np.concatenate(([True], key[1:] != key[:-1]))
-        cols = {k: v[new] for k, v in cols.items()}
-        first = np.flatnonzero(new_t[new])
-        size = np.diff(np.append(first, len(cols["t"])))
-        group = np.repeat(np.arange(len(first)), size)
-        keep = size[group] > 1
-        hub = {k: v[first][group][keep] for k, v in cols.items()}
-        me = {k: v[keep] for k, v in cols.items()}
-        ok = _passes(me["n"], hub["n"], me["p"], hub["p"], percent) & (me["k"] != hub["k"])
-        more = size[group][keep] > 2
-        any_use = ok | more
-        long = lambda x: pa.array(x[any_use].view(np.int64))
-        return pa.table({"t": long(me["t"]), "k": long(me["k"]), "n": long(me["n"]), "p": long(me["p"]), "hub": long(hub["k"]), "ok": pa.array(ok[any_use]), "more": pa.array(more[any_use])})
-
-    return run, "t long, k long, n long, p long, hub long, ok boolean, more boolean"
-
-
-def _open_pairs(percent: int, whole: bool):
-    """Plausible pairs of different components that share a shingle: all of them, or those with one hub a shingle.
-
-    Each shingle takes its hub by its own hash, so a class is tried with many
-    others over its shingles while pairs stay linear in the rows.
-    """
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("t", "ascending"), ("comp", "ascending")])
-        tok, k, n, p, comp = (t[c].to_numpy() for c in ("t", "k", "n", "p", "comp"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), U).reshape(len(tok), BITS // 64)
-        cut = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True]))).tolist()
-        rank = mix(tok.view(U) ^ mix(k.view(U)))
-        left, right = [], []
-
-        def test(a: int, others: np.ndarray) -> None:
-            hit = others[_passes(n[a], n[others], p[a], p[others], percent)]
-            hit = hit[np.bitwise_count(bits[hit] ^ bits[a]).sum(axis=1) <= _most(n[a], n[hit], percent)]
-            left.append(np.full(len(hit), k[a]))
-            right.append(k[hit])
-
-        for i, j in zip(cut, cut[1:]):
-            if not whole:
-                a = i + int(np.argmin(rank[i:j]))
-                test(a, np.flatnonzero(comp[i:j] != comp[a]) + i)
-                continue
-            end = (np.searchsorted(comp[i:j], comp[i:j], "right") + i).tolist()
-            for a in range(i, j):
-                if end[a - i] >= j:
-                    break
-                test(a, np.arange(end[a - i], j))
-        x = np.concatenate(left) if left else np.zeros(0, np.int64)
-        y = np.concatenate(right) if right else np.zeros(0, np.int64)
-        pairs = np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(pairs[:, 0]), "hub": pa.array(pairs[:, 1])})
-
-    return run, "x long, hub long"
+def hub_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """(x, hub): each class of a shingle with the shingle's hub, where the filters let them through."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(HOT_SALTS))).otherwise(0).cast("int")
+    hubs = tokens.groupBy("t").agg(F.min(F.struct("p", "k", "n")).alias("h"), F.first("hot").alias("hot"), F.count("*").alias("c")).where("c > 1")
+    salts = F.sequence(F.lit(0), F.when(F.col("hot"), HOT_SALTS - 1).otherwise(0))
+    hubs = hubs.select("t", F.explode(salts).alias("salt"), F.col("h.k").alias("hub"), F.col("h.n").alias("hn"), F.col("h.p").alias("hp"))
+    met = tokens.withColumn("salt", salt).join(hubs, ["t", "salt"]).where((F.col("k") != F.col("hub")) & _passes_column(percent))
+    return met.select(F.least("k", "hub").alias("x"), F.greatest("k", "hub").alias("y"), "hub").groupBy("x", "y").agg(F.min("hub").alias("hub"))
+
+
+def open_rows(tokens: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of shingles whose classes are in several components, by parts: ``side`` 0 is held against ``side`` 1."""
+    mine = tokens.join(comp, tokens.k == comp.node, "left").select("t", "k", "n", "p", "hot", F.coalesce("component", "k").alias("comp"))
+    mine = materialize(mine, "open")
+    per = mine.groupBy("t", "comp").agg(F.count("*").alias("c"), F.first("hot").alias("hot"))
+    per = per.groupBy("t").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.count("*").alias("several"), F.first("hot").alias("hot")).where("several > 1")
+    per = per.select("t", "main", F.ceil((F.col("c") - F.col("most")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("c") / RIGHT).cast("int").alias("rights"), F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), HOT_SALTS - 1).otherwise(0))).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(HOT_SALTS))).otherwise(0).cast("int")
+    met = mine.withColumn("salt", salt).join(per, ["t", "salt"]).join(bits, "k")
+    own = lambda parts: F.array(F.pmod(F.xxhash64("k", F.lit(5)), F.col(parts)).cast("int"))
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    side = lambda which, df, left, right: df.withColumn("i", F.explode(left)).withColumn("j", F.explode(right)).select("t", "i", "j", F.lit(which).alias("side"), "k", "n", "p", "comp", (F.col("comp") == F.col("main")).alias("main"), "bits")
+    return side(0, met.where("comp <> main"), own("lefts"), every("rights")).union(side(1, met, every("lefts"), own("rights")))
+
+
+def _open_pairs(percent: int):
+    """Pairs of different components whose bitmaps may belong to linked sets; rows come sorted by part and side."""
+
+    def run(batches):
+        key, held, fixed = None, [], None
+        seen: set = set()
+        for batch in batches:
+            t, i, j, side, k, n, p, comp = (batch.column(c).to_numpy() for c in range(8))
+            main = batch.column(8).to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(batch.column(9).to_pylist()), U).reshape(len(t), BITS // 64)
+            edge = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(t)]):
+                here = (int(t[lo]), int(i[lo]), int(j[lo]))
+                if here != key:
+                    key, held, fixed = here, [], None
+                cols = tuple(x[lo:hi] for x in (k, n, p, comp, main, bits))
+                if side[lo] == 0:
+                    held.append(cols)
+                    continue
+                if not held:
+                    continue
+                if fixed is None:
+                    fixed = [np.concatenate(x) for x in zip(*held)]
+                    order = np.argsort(fixed[1], kind="stable")
+                    fixed = [x[order] for x in fixed]
+                lk, ln, lp, lc, _, lb = fixed
+                rk, rn, rp, rc, rm, rb = cols
+                # sizes within the length filter only
+                low = np.searchsorted(ln, -(-percent * rn // 100))
+                high = np.searchsorted(ln, 100 * rn // percent, "right")
+                for a in range(len(rk)):
+                    s = slice(int(low[a]), int(high[a]))
+                    ok = np.flatnonzero((lc[s] != rc[a]) & (rm[a] | (lk[s] < rk[a])) & _passes(ln[s], rn[a], lp[s], rp[a], percent)) + s.start
+                    ok = ok[np.bitwise_count(lb[ok] ^ rb[a]).sum(axis=1) <= _most(ln[ok], rn[a], percent)] if len(ok) else ok
+                    for x in lk[ok].tolist():
+                        pair = (min(x, int(rk[a])), max(x, int(rk[a])))
+                        if pair not in seen:
+                            seen.add(pair)
+                            found.append(pair)
+            if len(seen) > 1 << 20:
+                seen = set()
+            if found:
+                got = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["x", "y"])
+
+    return run, "x long, y long"
 
 
 def suffix_passes(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> bool:
@@ -264,16 +408,13 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, refs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) among ``pairs`` of keys (x, hub), as references.  A hub of many pairs is salted; its set goes to each salt."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 30)).cast("int"))
-    deg = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    salted = materialize(salted.join(deg, "hub").select("x", "hub", F.pmod("salt", "parts").alias("salt"), "parts"), "pairs")
-    want = salted.select(F.col("x").alias("k"), "hub", "salt", F.lit(False).alias("own")).union(
-        salted.select(F.col("hub").alias("k"), "hub", "salt", F.lit(True).alias("own")).distinct()
-    )
-    want = want.join(refs, "k").groupBy("ref").agg(F.collect_list(F.struct("hub", "salt", "own")).alias("want")).withColumnRenamed("ref", "_ref")
-    want = materialize(want, "want")
+def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) among ``pairs`` (x, hub).  A hub of many pairs is salted; its set goes to each salt, and others stream past it."""
+    deg = materialize(pairs.groupBy("hub").agg(F.least(F.ceil(F.count("*") / SALT), F.lit(SALTS)).cast("int").alias("parts")), "degrees")
+    salted = skew_join(pairs, deg, ["hub"]).select("x", "hub", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("salt"))
+    want = salted.select(F.col("x").alias("_ref"), "hub", "salt", F.lit(1).alias("side"))
+    want = want.union(deg.select(F.col("hub").alias("_ref"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("side")))
+    want = materialize(want.groupBy("_ref").agg(F.collect_list(F.struct("hub", "salt", "side")).alias("want")), "want")
     texts = docs.select("_ref", "text").mapInArrow(_only(_filter_bits(want)), "_ref long, text string")
     found = texts.join(want.hint("shuffle_merge"), "_ref")
 
@@ -287,16 +428,22 @@ def _verify(docs: DataFrame, pairs: DataFrame, refs: DataFrame, n: int, percent:
                 raw = [x[i:j].tobytes() for i, j in zip(first.tolist(), first[1:].tolist())]
                 rows = np.repeat(np.arange(b - a), times).tolist()
                 for i in range(0, len(rows), 512):
-                    yield pa.RecordBatch.from_arrays([v.field("hub").slice(i, 512), v.field("salt").slice(i, 512), v.field("own").slice(i, 512), pa.array(ref[i : i + 512]), pa.array([raw[j] for j in rows[i : i + 512]], pa.binary())], ["hub", "salt", "own", "ref", "set"])
+                    yield pa.RecordBatch.from_arrays([v.field("hub").slice(i, 512), v.field("salt").slice(i, 512), v.field("side").slice(i, 512), pa.array(ref[i : i + 512]), pa.array([raw[j] for j in rows[i : i + 512]], pa.binary())], ["hub", "salt", "side", "ref", "set"])
 
-    def check(t: pa.Table) -> pa.Table:
-        own, ref, data = t["own"].to_pylist(), t["ref"].to_pylist(), t["set"]
-        h = own.index(True)
-        hub = np.frombuffer(data[h].as_buffer(), U)
-        out = [r for i, r in enumerate(ref) if not own[i] and links(np.frombuffer(data[i].as_buffer(), U), hub, percent)]
-        return pa.table({"u": pa.array(out, pa.int64()), "v": pa.array([ref[h]] * len(out), pa.int64())})
+    def check(batches):
+        at, hub = None, None
+        for batch in batches:
+            out = []
+            for h, s, side, ref, data in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+                if side == 0:
+                    at, hub = (h, s), np.frombuffer(data.as_py(), U)
+                elif at == (h, s) and links(np.frombuffer(data.as_buffer(), U), hub, percent):
+                    out.append((ref, h))
+            got = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
-    return found.mapInArrow(sets, "hub long, salt int, own boolean, ref long, set binary").groupBy("hub", "salt").applyInArrow(check, "u long, v long")
+    dealt = found.mapInArrow(sets, "hub long, salt int, side int, ref long, set binary").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
+    return dealt.mapInArrow(check, "u long, v long")
 
 
 _BITS = 1 << 24
@@ -342,66 +489,78 @@ def _only(bits):
     return run
 
 
+def _repeated(described: DataFrame) -> bool:
+    """Whether rows share a reference: such rows are equal."""
+    n, k = described.where("ref is not null").agg(F.count("*"), F.count_distinct("ref")).first()
+    return n != k
+
+
+def _home_column(count: int):
+    """``_home`` of the column k."""
+
+    @F.pandas_udf("int")
+    def home(k: pd.Series) -> pd.Series:
+        return pd.Series(_home(k.to_numpy().astype(np.int64), count).astype(np.int32))
+
+    return home("k")
+
+
+def _plausible(percent: int):
+    """Pairs (x, hub) whose bitmaps may belong to linked sets, from (x, hub, bx, bh, nx, nh)."""
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                x, h = (np.frombuffer(b"".join(b.column(i).to_pylist()), U).reshape(b.num_rows, -1) for i in (2, 3))
+                ok = np.bitwise_count(x ^ h).sum(axis=1) <= _most(b.column(4).to_numpy(), b.column(5).to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["x", "hub"])
+
+    return keep, "x long, hub long"
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links."""
     spark = docs.sparkSession
-    keyed = with_ref(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    keyed = with_ref(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "id", "text")
     run, schema = _describe(n)
     described = materialize(keyed.select("_ref", "text").mapInArrow(run, schema), "sets")
-    levels = spark.sparkContext.broadcast(frequency_levels(described))
-    sets = described.where("ref is not null").select("ref", "n", "s1", "s2", "bits")
-    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("ref").alias("ref"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    levels = spark.sparkContext.broadcast(hot_levels(described))
+    sets = described.where("ref is not null").select("ref", "n", "s1", "s2")
+    classes = described.where("n > 0").groupBy("s1", "s2").agg(F.min("ref").alias("rep"), F.first("n").cast("int").alias("n"))
     classes = materialize(classes, "classes")
-    refs = classes.select(F.col("s1").alias("k"), "ref")
-    bitmaps = classes.select(F.col("s1").alias("k"), "bits", F.col("n").alias("size"))
-    classes = classes.select("s1", "s2", "ref")
-    count = min(buckets(text_bytes(keyed), 8 << 20), 1 << 18)
-    run, schema = _prefixes(n, percent, levels, count)
-    packed = keyed.select("text").mapInArrow(run, schema)
-    run, schema = _hubs(percent)
-    tokens = materialize(packed.groupBy("bucket").applyInArrow(run, schema), "tokens")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, hub) whose bitmaps may belong to linked sets."""
-        both = pairs.join(bitmaps.withColumnsRenamed({"k": "x", "bits": "bx", "size": "nx"}), "x").join(bitmaps.withColumnsRenamed({"k": "hub", "bits": "bh", "size": "nh"}), "hub")
-
-        def keep(batches):
-            for b in batches:
-                if b.num_rows:
-                    x, h = (np.frombuffer(b"".join(b.column(i).to_pylist()), U).reshape(b.num_rows, -1) for i in (2, 3))
-                    nx, nh = b.column(4).to_numpy(), b.column(5).to_numpy()
-                    ok = np.bitwise_count(x ^ h).sum(axis=1) <= _most(nx, nh, percent)
-                    yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["x", "hub"])
-
-        return both.select("x", "hub", "bx", "bh", "nx", "nh").mapInArrow(keep, "x long, hub long")
-
-    def unsettled(comp: DataFrame) -> DataFrame:
-        """Rows of shingles whose classes are in several components, with the component of each class."""
-        by_key = refs.join(comp, refs.ref == comp.node, "left").select("k", F.coalesce("component", "ref").alias("comp"))
-        open_ = tokens.where("more").join(by_key, "k")
-        several = open_.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t")
-        left = open_.join(several, "t", "left_semi").select("t", "k", "n", "p", "comp").join(bitmaps.select("k", "bits"), "k")
-        return left.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(count * 4)))
-
-    pair = lambda d: d.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub"))
-    tried = materialize(pair(plausible(tokens.where("ok").select(F.col("k").alias("x"), "hub").distinct())), "tried")
-    edges = materialize(_verify(keyed, tried, refs, n, percent), "links")
+    bits = described.where("n > 0").select(F.col("ref").alias("k"), "bits", F.col("n").cast("int").alias("size"))
+    bits = materialize(bits.join(classes.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"]), "bits")
+    count = buckets(text_bytes(keyed), BUCKET)
+    run, schema = _deal(n, percent, levels, count)
+    dealt = keyed.select("_ref", "text").dropDuplicates(["_ref"]) if _repeated(described) else keyed.select("_ref", "text")
+    dealt = dealt.mapInArrow(run, schema)
+    run, schema = _count(count)
+    back = dealt.groupBy("bucket").applyInArrow(run, schema)
+    run, schema = _prefixes(percent)
+    home = bits.select(_home_column(count).alias("bucket"), F.col("k").alias("ref"), F.col("size").alias("n"))
+    tokens = materialize(back.groupBy("bucket").cogroup(home.groupBy("bucket")).applyInArrow(run, schema), "tokens")
+
+    hubs = materialize(hub_pairs(tokens, percent), "hubs")
+    both = hubs.select(F.when(F.col("x") == F.col("hub"), F.col("y")).otherwise(F.col("x")).alias("x"), "hub")
+    both = both.join(bits.withColumnsRenamed({"k": "x", "bits": "bx", "size": "nx"}), "x")
+    both = skew_join(materialize(both, "halves"), bits.withColumnsRenamed({"k": "hub", "bits": "bh", "size": "nh"}), ["hub"])
+    run, schema = _plausible(percent)
+    tried = materialize(both.select("x", "hub", "bx", "bh", "nx", "nh").mapInArrow(run, schema), "tried")
+    edges = materialize(_verify(keyed, tried, n, percent), "links")
     comp = components(edges)
-    for whole in (False, True):
-        run, schema = _open_pairs(percent, whole)
-        more = unsettled(comp).groupBy("b").applyInArrow(run, schema).distinct()
-        more = materialize(more.join(tried, ["x", "hub"], "left_anti"), "tried")
-        if not more.isEmpty():
-            tried = tried.union(more)
-            edges = edges.union(materialize(_verify(keyed, more, refs, n, percent), "links"))
-            comp = components(edges)
+    run, schema = _open_pairs(percent)
+    rows = open_rows(tokens, comp, bits.select("k", "bits")).repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "side")
+    more = rows.mapInArrow(run, schema).distinct()
+    more = materialize(more.join(tried.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y")), ["x", "y"], "left_anti").withColumnRenamed("y", "hub"), "tried")
+    if not more.isEmpty():
+        edges = edges.union(materialize(_verify(keyed, more, n, percent), "links"))
+        comp = components(edges)
     ids = keyed.select(F.col("_ref").alias("ref"), "id").distinct()
-    named = sets.drop("bits").join(classes.withColumnRenamed("ref", "rep"), ["s1", "s2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
+    named = skew_join(sets, classes.drop("n"), ["s1", "s2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     named = named.select("ref", "n", F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "ref").alias("c")).dropDuplicates(["ref"])
     smallest = ids.select(F.col("ref").alias("c"), F.col("id").alias("component_id"))
-    return (
-        keyed.select(F.col("id").alias(id_col), F.col("_ref").alias("ref")).join(named, "ref").join(smallest, "c").select(id_col, F.col("n").alias("n_shingles"), "component_id")
-    )
+    out = skew_join(materialize(keyed.select("id", F.col("_ref").alias("ref")).join(named, "ref"), "classed"), smallest, ["c"])
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def query(spark, sf_dir):
