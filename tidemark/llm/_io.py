@@ -88,7 +88,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     total = left.count()
     if total <= least:
         return left.join(right, on, how)
-    heavy = materialize(left.groupBy(*on).agg(F.count("*").alias("c")).where(F.col("c") > max(least, total // HEAVY)).select(*on), "heavy")
+    heavy = materialize(left.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(least, total // HEAVY)).select(*on), "heavy")
     if heavy.isEmpty():
         return left.join(right, on, how)
     few = F.broadcast(heavy)
