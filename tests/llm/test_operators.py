@@ -510,6 +510,53 @@ def test_quality(docs, odd, empty, rows):
     assert op10.filter_quality(empty).count() == op10.score_quality(empty).count() == 0
 
 
+def _clean(text):
+    """Brute force of operator 10's line rules: the text without failed lines, or None if it is rejected."""
+    text, seen, kept, lost, left = text or "", set(), [], 0, 0
+    w = WORD.findall(text)
+    windows = collections.Counter(tuple(w[p : p + 8]) for p in range(len(w) - 7))
+    hit = {q for p in range(len(w) - 7) if windows[tuple(w[p : p + 8])] > 1 for q in range(p, p + 8)}
+    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        body = line.rstrip("\n")
+        words = WORD.findall(body)
+        n, joined = len(words), "".join(words)
+        if not words:
+            kept.append(line)
+            continue
+        plain = re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", body)
+        plain = [re.sub("[A-Z]+", lambda m: m[0].lower(), x) for x in plain]
+        alpha = sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in joined)
+        upper = sum("A" <= c <= "Z" for c in joined)
+        symbols, shouts, bars = (len(re.findall(x, body)) for x in (r"[#*$%&|<>]", r"[!?]", "[|>»]"))
+        phrase = lambda p: any(plain[i : i + len(p)] == p for i in range(len(plain)))
+        bad = body in seen
+        bad |= symbols * 5 > 2 * n and symbols > 1 or alpha * 2 < len(joined) or shouts * 2 > n and n > 3
+        bad |= upper * 10 > 7 * max(alpha, 1) and n > 5
+        bad |= bars > 1 and n <= 4 * (bars + 1) or sum(x in op10.NAVIGATION for x in plain) * 2 > n
+        bad |= n <= 15 and any(phrase(p.split()) for p in op10.BOILERPLATE)
+        bad |= sum(a == b for a, b in zip(words, words[1:])) * 2 > n
+        bad |= n < 12 and words[-1][-1] not in ".!?:;,\"')]" + op10.CLOSING
+        seen.add(body)
+        if bad:
+            lost += len(joined)
+        else:
+            left += n
+            kept.append(line)
+    base = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+    return None if base or left < 20 or lost > 0.4 * max(sum(map(len, w)), 1) else "".join(kept)
+
+
+def test_quality_by_line(spark):
+    """Verdicts and cleaned texts of a whole table are those of the rules read line by line."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(-1, "a » b » c » d.\nsûr dû.\n" + "Only a plain sentence here, it says very little. " * 1), (-2, "\n\n" + "One two three four five six seven. " * 2 + "\n\nunended heading\n" + " ".join(f"w{i}" for i in range(30)) + "\n"), (-3, None)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    want = {r.doc_id: c for r in docs.collect() if (c := _clean(r.text)) is not None}
+    got = {r.doc_id: r.text for r in op10.filter_quality(docs, clean=True).collect()}
+    assert got == want
+    assert {r.doc_id for r in op10.score_quality(docs).where("kept").collect()} == set(want)
+
+
 def test_quality_lines(spark):
     good = "The quick brown fox jumps over the lazy dog and runs away from the hunters."
     bad = ["Home | About | Contact | Help", "WIN!! A!! PRIZE!! NOW!! CLICK!! HERE!!", "###$$$ %%%### &&&", good, "All rights reserved."]

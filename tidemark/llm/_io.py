@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_MADE: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of ``sf_dir``, read with Spark's reader only, so that any Hadoop path works."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,24 +28,36 @@ def scratch_root(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _MADE.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_FOLDER: ContextVar[str | None] = ContextVar("scratch folder", default=None)
 
 
-def made_since(mark: int | None = None):
-    """Without a mark, a mark of now; with one, the scratch paths made since."""
-    return len(_MADE) if mark is None else _MADE[mark:]
+def folder(spark: SparkSession) -> str:
+    """Where tables are written now."""
+    return _FOLDER.get() or f"{scratch_root(spark)}/tidemark"
 
 
-def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables; call it once results that read them are written."""
-    for path in paths:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the tables written inside, deleted at the end.
+
+    Gives the folder around it, for the table that is to outlive the others.
+    """
+    outer = folder(spark)
+    inner = f"{outer}/{uuid.uuid4().hex}"
+    token = _FOLDER.set(inner)
+    try:
+        yield outer
+    finally:
+        _FOLDER.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, into: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{into or folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def quoted(name: str) -> str:

@@ -5,8 +5,10 @@ failed lines are removed, and a document that loses more than ``max_lost`` of it
 word characters, or keeps too few words, is rejected.
 
 Nulls and empty texts have no lines and are rejected (fewer than ``min_words``).
-Null ids and repeated rows pass through, one result row per input row; extra
-columns are ignored by :func:`score_quality` and kept by :func:`filter_quality`.
+Null ids and repeated rows pass through, one result row per input row; of equal
+lines in a text the first stays.  Texts of any length are judged whole, in slices
+that bound memory.  An empty table gives an empty result.  Extra columns of any
+name are ignored by :func:`score_quality` and kept by :func:`filter_quality`.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._io import packed_rows, unpacked_rows
 from ._vec import BYTE, NOT_SPACE, counts_within, lut, ngrams, prefix, row_starts, span_hash, spans, text_slices, union_length, words
 
 _SYMBOL = lut(b"#*$%&|<>")
@@ -22,12 +25,17 @@ _NEWLINE = ~lut(b"\n")
 _ALPHA = lut(bytes(range(65, 91)) + bytes(range(97, 123))) | (np.arange(256) >= 128)
 _UPPER = lut(bytes(range(65, 91)))
 _SHOUT = lut(b"!?")
-_BAR = lut(b"|>\xbb")
+_BAR = lut(b"|>")
+_CLOSE = lut(b".!?:;,\"')]")
+#: Closing marks beyond ASCII.
+CLOSING = "…»”’。！？"
 #: Lower-case words that open or fill navigation lines.
 NAVIGATION = ("home", "menu", "login", "logout", "register", "search", "sitemap", "contact", "about", "help", "next", "previous", "share", "subscribe", "facebook", "twitter", "cart", "privacy", "terms")
 #: Phrases of boilerplate lines.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "powered by", "click here", "sign up", "read more", "subscribe to our newsletter", "accept cookies")
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bad_lines long, lost_share double, base_failed boolean, kept boolean"
+#: Words from which a line may end without a closing mark: it is a paragraph that was cut, not a heading or a menu.
+SHORT = 12
 _LOWER = BYTE.copy()
 _LOWER[65:91] = BYTE[97:123]
 _PLAIN = _ALPHA | lut(b"0123456789")
@@ -73,8 +81,8 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int, max_repeat: int, m
     # line rules
     part = lambda c: c[le] - c[ls]
     chars, alpha, upper = part(lead), part(cum(_ALPHA[buf] & ((buf & 0xC0) != 0x80))), part(cum(_UPPER[buf]))
-    shouts, bars, sym = part(cum(_SHOUT[buf])), part(cum(_BAR[buf])), part(symbols)
-    noisy = (sym * 10 > 2 * np.maximum(line_words * 2, 1)) & (sym >= 2) | (alpha * 2 < chars) | (shouts * 2 > line_words) & (line_words >= 4)
+    shouts, bars, sym = part(cum(_SHOUT[buf])), part(cum(_BAR[buf] | (buf == 0xBB) & (np.concatenate(([0], buf[:-1])) == 0xC2))), part(symbols)
+    noisy = (sym * 5 > 2 * line_words) & (sym >= 2) | (alpha * 2 < chars) | (shouts * 2 > line_words) & (line_words >= 4)
     loud = (upper * 10 > 7 * np.maximum(alpha, 1)) & (line_words >= 6)
     ps, pe, _ = spans(buf, off, _PLAIN)
     ph = span_hash(prefix(buf, _LOWER), ps, pe)
@@ -88,10 +96,21 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int, max_repeat: int, m
         at_line = np.searchsorted(ls, ps[at], "right") - 1
         boiler[at_line[pe[np.minimum(at + k - 1, len(pe) - 1)] <= le[at_line]]] = True
     boiler &= line_words <= 15
-    echo = cum(np.concatenate(([False], wh[1:] == wh[:-1]))[: len(wh)])
     wfirst, wend = np.searchsorted(ws, ls), np.searchsorted(ws, le)
+    unended = np.zeros(len(ls), bool)
+    at = np.flatnonzero(has_word & (line_words < SHORT))
+    tail = we[wend[at] - 1]
+    closed = _CLOSE[buf[tail - 1]]
+    for mark in CLOSING:
+        m = mark.encode()
+        ok = tail >= len(m)
+        for i, x in enumerate(m):
+            ok &= buf[np.maximum(tail - len(m) + i, 0)] == x
+        closed |= ok
+    unended[at[~closed]] = True
+    echo = cum(np.concatenate(([False], wh[1:] == wh[:-1]))[: len(wh)])
     stutter = (echo[wend] - echo[np.minimum(wfirst + 1, wend)]) * 2 > line_words
-    failed = has_word & (again | noisy | loud | navigation | boiler | stutter)
+    failed = has_word & (again | noisy | loud | unended | navigation | boiler | stutter)
     by_row = lambda v: np.bincount(line_row, v, n)
     word_chars = lead[off[1:]] - lead[off[:-1]]
     lost = by_row(chars * failed) / np.maximum(word_chars, 1)
@@ -115,28 +134,40 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 cols, ls, le, failed = measure(buf, off, min_words, max_repeat, max_lost)
                 out = [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(cols, kinds))]
                 if with_text:
-                    gone = np.zeros(len(buf) + 1, np.int8)
-                    np.add.at(gone, ls[failed], 1)
-                    np.add.at(gone, le[failed], -1)
-                    keep = np.cumsum(gone[:-1]) == 0
-                    raw, at = buf[keep].tobytes(), np.concatenate(([0], np.cumsum(keep)))[off].tolist()
-                    out.append(pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])], pa.string()))
+                    out.append(pa.array(_without(buf, off, ls, le, failed), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [id_col, *(x.split()[0] for x in SCHEMA.split(", ")), *["clean_text"] * with_text])
 
     return picked.mapInArrow(run, schema)
 
 
-def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """The documents that pass, with all their columns, in one pass over the texts."""
+def _without(buf: np.ndarray, off: np.ndarray, ls: np.ndarray, le: np.ndarray, failed: np.ndarray) -> list[str]:
+    """The texts of a slice without their failed lines; a text that loses none is as it was."""
+    gone = np.zeros(len(buf) + 1, np.int32)
+    ends = le[failed] + (np.append(buf, 10)[le[failed]] == 10)  # with their line end, which may be the row's end
+    row_end = off[np.searchsorted(off, ls[failed], "right")]
+    np.add.at(gone, ls[failed], 1)
+    np.add.at(gone, np.minimum(ends, row_end), -1)
+    keep = np.cumsum(gone[:-1]) == 0
+    raw, at = buf[keep].tobytes(), np.concatenate(([0], np.cumsum(keep)))[off].tolist()
+    return [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
+
+
+def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean: bool = False, **rules) -> DataFrame:
+    """The documents that pass, with all their columns, in one pass over the texts; ``clean`` takes the failed lines out of their texts."""
     min_words, max_repeat, max_lost = rules.get("min_words", 20), rules.get("max_repeat", 30), rules.get("max_lost", 0.4)
-    place = docs.columns.index(text_col)
+    rows = packed_rows(docs, id_col, text_col).drop("id")
 
     def run(batches):
         for batch in batches:
-            keep = [pa.array(measure(buf, off, min_words, max_repeat, max_lost)[0][-1], pa.bool_()) for _, _, buf, off in text_slices(batch.column(place))]
-            yield batch.filter(pa.chunked_array(keep, pa.bool_()).combine_chunks()) if keep else batch
+            for a, b, buf, off in text_slices(batch.column(1)):
+                cols, ls, le, failed = measure(buf, off, min_words, max_repeat, max_lost)
+                part = batch.slice(a, b - a)
+                if clean:
+                    made = pa.array(_without(buf, off, ls, le, failed), pa.string())
+                    part = pa.RecordBatch.from_arrays([part.column(0), made], ["row", "text"])
+                yield part.filter(pa.array(cols[-1], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return unpacked_rows(rows.mapInArrow(run, rows.schema), docs.columns, text_col, [])
 
 
 def query(spark, sf_dir):

@@ -12,7 +12,8 @@ fall into chunks that are solved once per worker and distinct chunk.  Scores are
 added exactly within a chunk; the library adds 32-bit floats over the whole
 text, which for texts of thousands of words rounds and may break a tie otherwise.
 
-Null and empty texts have 0 tokens; one result row per input row.
+Null and empty texts have 0 tokens; one result row per input row.  An empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ matches exactly, word for word.  Only places where a word stands that a
 template may open with are tried (all places, if it may open with any word), and they are found with numpy.
 
 Base phrases are templates without markup; every place counts.  Nulls and empty
-texts have no words and no labels.  One result row per input row.
+texts have no words and no labels.  One result row per input row.  A text of any
+length is matched whole; of wordings that are accepted from one place the longest
+counts.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

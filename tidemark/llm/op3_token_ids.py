@@ -164,9 +164,8 @@ def query(spark, sf_dir):
 
     import public_tokenizers
 
-    from ._io import _MADE, scratch_root, table
+    from ._io import folder, table
 
-    path = f"{scratch_root(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"), 49408, 1)
-    _MADE.append(path)
     return read_token_files(spark, path)

@@ -42,18 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._components import components
-from ._io import buckets, materialize, quoted, skew_join, text_bytes, with_ref
+from ._io import buckets, materialize, quoted, scratch, skew_join, text_bytes, with_ref
 from ._vec import BYTE_LOWER, NOT_SPACE, U, mix, ngrams, row_starts, text_slices, words
 
 SLOTS = 1 << 20
 _BLOCK = 1 << 14
 BITS = 1024
 #: Bytes of text whose shingles a bucket counts; shingles that a task packs at once.
-BUCKET, FLUSH = 8 << 20, 1_500_000
+BUCKET, FLUSH = 4 << 20, 1_000_000
 #: A counter from which its shingles are hot (or eight times the usual one); salts of their rows.
 HOT, HOT_SALTS = 4096, 64
 #: Most classes of a shingle that are held against others at once, and most others in a part.
-LEFT, RIGHT = 4096, 1 << 16
+LEFT, RIGHT = 1024, 2048
 #: Pairs of a hub that are verified together, and most such parts of a hub.
 SALT, SALTS = 256, 4096
 _T = U(48)
@@ -519,7 +519,12 @@ def _plausible(percent: int):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id: the smallest id reachable by links."""
+    """id, n_shingles, component_id: the smallest id reachable by links.  Only the result's table is left in the scratch folder."""
+    with scratch(docs.sparkSession) as outer:
+        return materialize(_joined(docs, id_col, text_col, n, percent), "jaccard", outer)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     keyed = with_ref(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "id", "text")
     run, schema = _describe(n)
