@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -36,6 +37,12 @@ def folder(spark: SparkSession) -> str:
     return _FOLDER.get() or f"{scratch_root(spark)}/tidemark"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver's JVM for a collection, on which Spark drops the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder of its own for the tables written inside, deleted at the end.
@@ -51,6 +58,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         _FOLDER.reset(token)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        free_shuffles(spark)
 
 
 def materialize(df: DataFrame, name: str, into: str | None = None) -> DataFrame:
