@@ -11,7 +11,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm._io import materialize, packed_rows, scratch, table, unpacked_rows, with_ref
+from tidemark.llm._io import free_shuffles, materialize, packed_rows, scratch, table, unpacked_rows, with_ref
 from tidemark.llm.op5_suffix_array_dedup import dedup_substrings
 from tidemark.llm.op7_ngram_jaccard_join import jaccard_components
 from tidemark.llm.op8_packing import pack
@@ -20,12 +20,12 @@ from tidemark.llm.op10_quality_rules import filter_quality
 
 
 def stage(f):
-    """Write the stage's result before its scratch tables go, so that a result is good for as long as its own table."""
+    """Free the shuffle files of the stages before: their results are written, but a driver that makes little garbage keeps them."""
 
     @functools.wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with scratch(spark) as outer:
-            return materialize(f(spark, docs, sf_dir), f.__name__, outer)
+        free_shuffles(spark)
+        return f(spark, docs, sf_dir)
 
     return call
 
@@ -100,6 +100,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; only the last one's table is left in the scratch folder."""
     with scratch(spark) as outer:
         docs = table(spark, sf_dir, "documents")
-        for _, step in STAGES:
-            docs = step(spark, docs, sf_dir)
-        return materialize(docs, "pipeline", outer)
+        for name, step in STAGES[:-1]:
+            docs = materialize(step(spark, docs, sf_dir), name)
+        return materialize(STAGES[-1][1](spark, docs, sf_dir), "packed", outer)
