@@ -314,6 +314,42 @@ def test_star_streaming(spark, tmp_path):
     assert out.where("error is null and `table` = 'logs'").count() == 3 and out.where("error is not null").count() == 0
 
 
+def test_star_state_stays_flat():
+    """A stream of 1,000 batches, some of which replace a dictionary: what is kept does not grow, and any batch can be read from it."""
+    import io
+
+    import pyarrow as pa
+
+    from tidemark.sources.star_session import Session, standing
+
+    raw, at, kept, sizes = io.BytesIO(), 0, b"", []
+    words = [pa.array(["a", "b", "c"]), pa.array(["d", "e"])]
+    batch = lambda i: pa.record_batch([pa.DictionaryArray.from_arrays(pa.array([i % 2] * 5, pa.int8()), words[i // 100 % 2]), pa.array(range(i, i + 5))], ["w", "x"])
+    with pa.ipc.new_stream(raw, batch(0).schema) as w:
+        for i in range(1000):
+            w.write_batch(batch(i))
+            record, at = raw.getvalue()[at:], raw.tell()
+            session = Session()
+            if kept:
+                session.restore(30, "s", kept)
+            if i % 50 < 3 or i % 100 > 97:
+                got = session.payload(30, "s", record)
+                assert got.column(0).to_pylist() == [words[i // 100 % 2][i % 2].as_py()] * 5 and got.column(1)[0].as_py() == i
+            kept = standing(kept + record)
+            sizes.append(len(kept))
+    assert max(sizes) <= sizes[0] + 64
+
+
+def test_one_rule_on_both_paths(spark):
+    """Whether a text field of another type is an error does not hang on other fields."""
+    for body in ("plain", "it is null", "x, null, y", '{"arrayValue": null}', 'say "severityText":5'):
+        for kind, fine in (("ok", True), (5, False)):
+            text = log(severityText=kind, body={"stringValue": body})
+            p = payloads(spark, text)
+            assert (t.transform_logs(p, "json", "permissive").count() == 1) == fine, (body, kind)
+            assert (t.errors_of(p, "logs", "json").count() == 0) == fine
+
+
 @pytest.fixture(scope="session")
 def views(sf):
     con = duckdb.connect()
@@ -323,7 +359,7 @@ def views(sf):
     return con
 
 
-@pytest.mark.parametrize("name", ["logs_auto", "logs_star", "logs_body_kinds", "traces_protobuf", "metrics_gauge_protobuf", "metrics_skipped", "star_quasi_delta", "star_attr_join", "trace_by_id_summary", "content_types"])
+@pytest.mark.parametrize("name", ["logs_auto", "logs_star", "logs_body_kinds", "traces_protobuf", "metrics_gauge_protobuf", "metrics_skipped", "star_quasi_delta", "star_attr_join", "trace_by_id_summary", "content_types", "sink_ipc", "star_acks"])
 def test_query_equals_sql(spark, sf, views, name):
     df = q.queries()[name](spark, sf)
     cols = sorted(df.columns)

@@ -343,9 +343,11 @@ def star_attr_join(spark, sf_dir):
     return s.attach(rows, s.attributes("log_attrs", 16, "attrs"), "id", "attrs").select("batch_id", "id", attributes_json(F.col("attrs")).alias("attributes"))
 
 
-@query()
+@query("""SELECT 0 AS status_code, '' AS message, count(*) AS batches FROM (SELECT DISTINCT event_type, event_id // 500 FROM events)""")
 def star_acks(spark, sf_dir):
-    return star_session.acks(star_session.decode_streams(synth.log_messages(log_payloads(spark, sf_dir)), "logs"))
+    """One acknowledgement a batch, counted by code."""
+    acks = star_session.acks(star_session.decode_streams(synth.log_messages(log_payloads(spark, sf_dir)), "logs"))
+    return acks.groupBy("status_code", "message").agg(F.count("*").alias("batches"))
 
 
 @query("""SELECT md5(o_orderkey::VARCHAR) AS trace_id, 1::BIGINT AS resource_count, 1::BIGINT AS scope_count, count(*) AS span_count, 1::BIGINT AS distinct_traces, md5(o_orderkey::VARCHAR) AS first_trace_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
@@ -365,15 +367,17 @@ def sink_ndjson(spark, sf_dir):
     return sinks.ndjson(t)
 
 
-@query("""SELECT count(*) AS rows FROM events""")
+@query("""SELECT (epoch_us(ts) * 1000)::BIGINT AS time_unix_nano, 'svc-' || event_type AS service_name, 9::INTEGER AS severity_number FROM events""")
 def sink_ipc(spark, sf_dir):
-    t = sinks.ipc_batches(transform.transform_logs(log_payloads(spark, sf_dir), "json"))
+    """Rows read back from the IPC streams."""
+    t = transform.transform_logs(log_payloads(spark, sf_dir), "json").select("time_unix_nano", "service_name", "severity_number")
 
     def back(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pa.ipc.open_stream(x.as_py()).read_all().num_rows for x in b.column(0)], pa.int64())], ["rows"])
+            for x in b.column(0):
+                yield from pa.ipc.open_stream(x.as_py()).read_all().to_batches()
 
-    return t.select("ipc").mapInArrow(back, "rows long").agg(F.sum("rows").cast("bigint").alias("rows"))
+    return sinks.ipc_batches(t).select("ipc").mapInArrow(back, t.schema)
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'jsonl' WHEN 1 THEN 'json' WHEN 2 THEN 'protobuf' ELSE 'auto' END AS format, CASE event_id % 5 WHEN 0 THEN 'application/x-ndjson' WHEN 1 THEN 'application/json' ELSE 'application/x-protobuf' END AS content_type, event_id % 5 <> 2 AS is_json FROM events""")

@@ -3,9 +3,10 @@
 ``payloads`` has payload_id (bigint), payload (binary or string) and, if formats
 differ, format (string: json, jsonl, protobuf or auto).
 
-JSON payloads without nested values take the native path: ``from_json`` with a
-fixed schema and ``inline``.  Other payloads go through Arrow batches to the
-readers in ``wire``.  A payload with any error yields one row whose ``error``
+JSON payloads without nested values and nulls take the native path: ``from_json``
+with a fixed schema and ``inline``.  Other payloads, and those with a value of a
+wrong type, go through Arrow batches to the readers in ``wire``, so that what a
+payload gives does not depend on the path.  A payload with any error yields one row whose ``error``
 says why, and no others.
 """
 
@@ -157,10 +158,6 @@ def _points(x: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (rows(*k) for k in kinds))
 
 
-def _decimals(arrow: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-
 def _python_rows(payloads: DataFrame, signal: str) -> DataFrame:
     struct = T.StructType.fromDDL(IR[signal])
     arrow = to_arrow_schema(struct)
@@ -192,6 +189,13 @@ def _python_rows(payloads: DataFrame, signal: str) -> DataFrame:
     return payloads.select("payload_id", F.col("payload").cast("binary"), "format").mapInArrow(run, struct)
 
 
+#: Text fields; a value of another type in one of them is an error, which ``from_json`` would turn into text.
+_TEXTS = "key|stringValue|bytesValue|severityText|eventName|name|version|description|unit|traceId|spanId|parentSpanId|traceState|message"
+#: What the native path does not read as the Arrow path does.  A quote in a JSON string is escaped, so a
+#: quoted name before a colon is a field's name, never part of a text.
+_NOT_PLAIN = rf'"(?:arrayValue|kvlistValue)"\s*:|"(?:{_TEXTS})"\s*:\s*[^"\s]|(?<!\\)"\s*:\s*null|[\[,]\s*null\s*[,\]]'
+
+
 def decode(payloads: DataFrame, signal: str, fmt: str | None = None) -> DataFrame:
     """Intermediate rows of all payloads; rows with ``error`` stand for payloads that failed."""
     if fmt is not None:
@@ -202,7 +206,7 @@ def decode(payloads: DataFrame, signal: str, fmt: str | None = None) -> DataFram
     if fmt in ("protobuf", "jsonl"):
         return _python_rows(payloads, signal)
     text = F.col("payload").cast("string")
-    parsed = payloads.where("format = 'json'").withColumn("_plain", ~(text.contains("arrayValue") | text.contains("kvlistValue") | text.contains("null")))
+    parsed = payloads.where("format = 'json'").withColumn("_plain", ~text.rlike(_NOT_PLAIN))
     schema = T.StructType.fromDDL(f"{JSON[signal]}, _bad string")
     native = parsed.where("_plain").select("payload_id", "payload", "format", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}).alias("j"))
     good = _native_rows(native.where("j._bad is null and j is not null"), signal)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans import transform
 from ..sources import sinks, wire
-from ..sources.star_session import STAR, Session, star_rows, star_schema, star_table
+from ..sources.star_session import STAR, Session, standing, star_rows, star_schema, star_table
 
 PAYLOADS = "payload_id bigint, payload binary, format string, token string"
 MAX_MESSAGE = 4 << 20
@@ -62,8 +62,8 @@ def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expecte
 def star_stream(messages: DataFrame, signal: str) -> DataFrame:
     """Star rows of a stream of messages (stream_id, batch_id, payloads), one session per stream_id.
 
-    State: the records of each open IPC stream so far, in order; what a new
-    micro-batch decodes goes on from them.
+    State: the schema and the dictionaries of each open IPC stream, not its rows,
+    so it stays as large as the dictionaries are, however long a stream is.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,10 +72,10 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kinds, ids, records, failed = state.get if state.exists else ([], [], [], "")
-        kinds, ids, records = list(kinds), list(ids), list(records)
+        kept = {i: (kind, record) for kind, i, record in zip(kinds, ids, records)}
         session, rows = Session(), []
-        for kind, schema_id, record in zip(kinds, ids, records):
-            session.payload(kind, schema_id, record)
+        for schema_id, (kind, record) in kept.items():
+            session.restore(kind, schema_id, record)
         got = pd.concat(list(pdfs)).sort_values("batch_id")
         for batch_id, payloads in zip(got["batch_id"].tolist(), got["payloads"].tolist()):
             if failed:
@@ -89,14 +89,10 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
                 rows.append({"stream_id": key[0], "batch_id": batch_id, "error": failed})
                 continue
             for p in given:
-                if p["schema_id"] not in ids:  # a new stream ends the older one of its type
-                    old = [i for i, k in enumerate(kinds) if k == p["type"]]
-                    for i in reversed(old):
-                        del kinds[i], ids[i], records[i]
-                kinds.append(p["type"])
-                ids.append(p["schema_id"])
-                records.append(p["record"])
-        state.update((kinds, ids, records, failed))
+                if p["schema_id"] not in kept:  # a new stream ends the older one of its type
+                    kept = {i: x for i, x in kept.items() if x[0] != p["type"]}
+                kept[p["schema_id"]] = (p["type"], standing(kept.get(p["schema_id"], (0, b""))[1] + p["record"]))
+        state.update(([k for k, _ in kept.values()], list(kept), [r for _, r in kept.values()], failed))
         yield star_table(rows, schema).to_pandas(types_mapper=None)
 
     return messages.groupBy("stream_id").applyInPandasWithState(run, STAR, "kinds array<int>, ids array<string>, records array<binary>, failed string", "append", GroupStateTimeout.NoTimeout)
