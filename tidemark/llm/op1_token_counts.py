@@ -2,8 +2,10 @@
 
 An Aho-Corasick automaton enumerates the unigram vocabulary's matches that end
 at each character; dynamic programming carries the best score and the number of
-pieces, never the pieces.  Ties go to the longest last piece, as in the
-tokenizer, whose forward search keeps the first of equal candidates by start.
+pieces, never the pieces.  Ties go to the longest last piece, as a forward search
+does that keeps the first of equal candidates by start.  The segmentation is the
+one of the best score; the library's ``encode`` takes another on some words (see
+the README).
 Unknown characters cost the lowest score less 10 and count as one piece per
 UTF-8 byte where the vocabulary has byte pieces, else a run of them as one.
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._vec import BYTE_LOWER, ngrams, row_starts, text_slices, words
+from ._vec import BYTE_LOWER, row_starts, text_slices, words
 
 #: Letters after lower-casing A-Z, digits, and all bytes from 0x80.
 WORD = np.zeros(256, bool)

@@ -12,7 +12,9 @@ Parquet table that Spark commits, so half-written files of lost tasks never show
 and any Hadoop store can hold them.
 
 Null texts are empty, so such a document is its end id alone.  Null ids are
-written last; repeated rows are written each.
+written last; repeated rows are written each.  A text of any length is one
+document of one image.  An empty table gives no images; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ restores it.  The loss mask lists the places of assistant texts.
 One exchange, by conversation, serves the windows, the fold and the rendering.
 A conversation is one output string, so it is one task's work and less than 2 GB;
 its windows spill.  Null texts and roles are empty; null seq sorts first, ties by
-msg, op, role, text; null conv_id is one conversation.
+msg, op, role, text; null conv_id is one conversation.  Rows that are fully
+repeated are events each.  An empty log gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ together, so at most one partial sequence leaves it; partial sequences of
 may be left there is padded.  Memory is bounded by the open sequences.
 
 Null texts are empty: such a document is its end id alone.  Null ids, repeated
-rows and ties are packed as rows of their own.
+rows and ties are packed as rows of their own.  A text of any length is cut into
+full sequences as it comes.  An empty table gives no pieces; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
