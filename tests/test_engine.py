@@ -252,6 +252,60 @@ def test_star_session_rules():
             star_session.Session().message("logs", bad)
 
 
+_ATTRS = {"parent_id": ([0], pa.uint16()), "key": (["k"], pa.string()), "type": ([1], pa.uint8()), "str": (["v"], pa.string())}
+_POINTS = {"parent_id": ([0], pa.uint16()), "bucket_counts": ([[1, 2]], pa.list_(pa.uint64()))}
+
+
+@pytest.mark.parametrize("signal, table, columns, error", [
+    ("traces", "span_attrs", {}, None),
+    ("traces", "span_attrs", {"parent_id": ([0], pa.uint32())}, "type uint32"),
+    ("traces", "span_attrs", {"str": (["v"], pa.dictionary(pa.uint8(), pa.string()))}, "type dictionary"),
+    ("traces", "span_attrs", {"str": (["v"], pa.dictionary(pa.int16(), pa.string()))}, None),
+    ("logs", "log_attrs", {"str": (["v"], pa.dictionary(pa.uint8(), pa.string()))}, None),
+    ("logs", "log_attrs", {"key": (["k"], pa.dictionary(pa.int32(), pa.string()))}, "type dictionary"),
+    ("traces", "span_attrs", {"key": ([None], pa.string())}, "holds nulls"),
+    ("traces", "span_attrs", {"key": None}, "key is missing"),
+    ("traces", "span_attrs", {"other": ([1], pa.int8())}, "unknown column other"),
+    ("traces", "span_attrs", {"type": ([8], pa.uint8())}, "unknown value type 8"),
+    ("traces", "span_attrs", {"type": ([2], pa.uint8())}, "value of type 2 is missing"),
+    ("traces", "span_attrs", {"str": ([None], pa.string())}, "value of type 1 is missing"),
+    ("traces", "span_attrs", {"type": ([0], pa.uint8()), "str": ([None], pa.string())}, None),
+    ("metrics", "number_attrs", {"parent_id": ([0], pa.uint32())}, None),
+    ("metrics", "number_attrs", {}, "type uint16"),
+    ("metrics", "histogram_points", {}, None),
+    ("metrics", "histogram_points", {"bucket_counts": ([[1, None]], pa.list_(pa.uint64()))}, "list holds a null"),
+    ("metrics", "histogram_points", {"bucket_counts": ([None], pa.list_(pa.uint64()))}, None),
+    ("metrics", "histogram_points", {"bucket_counts": ([[1]], pa.list_(pa.int64()))}, "type list"),
+    ("metrics", "exp_points", {"bucket_counts": None, "positive": ([{"offset": 1}], pa.struct([("offset", pa.int64())]))}, "type int64"),
+    ("metrics", "exp_points", {"bucket_counts": None, "positive": ([{"bucket_counts": [None]}], pa.struct([("bucket_counts", pa.list_(pa.uint64()))]))}, "list holds a null"),
+    ("metrics", "summary_points", {"bucket_counts": None, "quantile": ([[{"quantile": 0.5}]], pa.list_(pa.struct([("quantile", pa.float64())])))}, None),
+])
+def test_star_types(signal, table, columns, error):
+    """Types, dictionary keys, required columns, list elements and typed values of star payloads."""
+    from tidemark.sources import star_types
+
+    given = {k: v for k, v in ((_POINTS if table.endswith("points") else _ATTRS) | columns).items() if v}
+    cell = lambda values, kind: pa.array(values, kind.value_type).dictionary_encode().cast(kind) if pa.types.is_dictionary(kind) else pa.array(values, kind)
+    batch = pa.RecordBatch.from_arrays([cell(*v) for v in given.values()], list(given))
+    if error is None:
+        star_types.validate(signal, table, batch)
+    else:
+        with pytest.raises(wire.DecodeError, match=error):
+            star_types.validate(signal, table, batch)
+
+
+@pytest.mark.parametrize("body, error", [({"type": 1, "str": "x"}, None), ({"type": 1}, "is missing"), ({"str": "x"}, "holds nulls"), ({"type": 9}, "unknown value type"), (None, None)])
+def test_star_bodies(body, error):
+    from tidemark.sources import star_types
+
+    batch = pa.RecordBatch.from_pylist([{"body": body}, {"body": None}], schema=pa.schema([("body", pa.struct([("type", pa.uint8()), ("str", pa.string())]))]))
+    if error is None:
+        star_types.validate("logs", "logs", batch)
+    else:
+        with pytest.raises(wire.DecodeError, match=error):
+            star_types.validate("logs", "logs", batch)
+
+
 def test_cbor():
     assert star_session.read_cbor(bytes.fromhex("a2616101616282f5fb3ff8000000000000")) == {"kvlistValue": {"values": [{"key": "a", "value": {"intValue": 1}}, {"key": "b", "value": {"arrayValue": {"values": [{"boolValue": True}, {"doubleValue": 1.5}]}}}]}}
     assert star_session.read_cbor(bytes.fromhex("c11863")) == {"intValue": 99} and star_session.read_cbor(b"\xf6") == {}
@@ -359,7 +413,7 @@ def views(sf):
     return con
 
 
-@pytest.mark.parametrize("name", ["logs_auto", "logs_star", "logs_body_kinds", "traces_protobuf", "metrics_gauge_protobuf", "metrics_skipped", "star_quasi_delta", "star_attr_join", "trace_by_id_summary", "content_types", "sink_ipc", "star_acks"])
+@pytest.mark.parametrize("name", ["logs_auto", "logs_star", "logs_body_kinds", "logs_star_attr_kinds", "traces_protobuf", "traces_jsonl", "traces_star", "traces_star_children", "traces_status", "metrics_gauge_protobuf", "metrics_gauge_jsonl", "metrics_gauge_star", "metrics_histogram_star", "metrics_exp_histogram", "metrics_exp_histogram_star", "metrics_skipped", "star_quasi_delta", "star_attr_join", "trace_by_id_summary", "content_types", "sink_ipc", "star_acks"])
 def test_query_equals_sql(spark, sf, views, name):
     df = q.queries()[name](spark, sf)
     cols = sorted(df.columns)

@@ -101,7 +101,22 @@ def logs_auto(spark, sf_dir):
 @query(_LOGS)
 def logs_star(spark, sf_dir):
     """The same rows through the columnar star protocol."""
-    return _hexed(transform.transform_star(synth.log_messages(log_payloads(spark, sf_dir)), "logs"), *_LOG_COLUMNS)
+    return _hexed(transform.transform_star(synth.star_messages(log_payloads(spark, sf_dir), "logs"), "logs"), *_LOG_COLUMNS)
+
+
+@query("""SELECT event_id::VARCHAR AS severity_text, '{"d":' || (event_id % 4 + 0.5)::VARCHAR || ',"m":{"u":' || (user_id % 3) || '},"n":null,"s":[' || (user_id % 3) || ',true,"x"],"t":"' || event_type || '"}' AS log_attributes FROM events""")
+def logs_star_attr_kinds(spark, sf_dir):
+    """Attributes of all kinds: equal doubles and texts are sent as differences to the row before, maps, lists and empty values never."""
+    value = lambda v: F.lit(v) if isinstance(v, str) else v
+    text = lambda *parts: F.concat(*(value(p) for p in parts))
+    e = synth.read(spark, sf_dir, "events")
+    d, u = (F.col("event_id") % 4 + F.lit(0.5).cast("double")).cast("string"), (F.col("user_id") % 3).cast("string")
+    attrs = text('[{"key":"t","value":{"stringValue":"', F.col("event_type"), '"}},{"key":"d","value":{"doubleValue":', d, '}},{"key":"n","value":{}},{"key":"m","value":{"kvlistValue":{"values":[{"key":"u","value":{"intValue":', u,
+                 '}}]}}},{"key":"s","value":{"arrayValue":{"values":[{"intValue":', u, '},{"boolValue":true},{"stringValue":"x"}]}}}]')
+    record = text('{"severityText":"', F.col("event_id").cast("string"), '","attributes":', attrs, "}")
+    made = e.select(F.expr("event_id div 200").alias("g"), record.alias("r")).groupBy("g").agg(F.array_join(F.collect_list("r"), ",").alias("r"))
+    payloads = made.select(F.xxhash64("g").alias("payload_id"), text('{"resourceLogs":[{"scopeLogs":[{"logRecords":[', F.col("r"), "]}]}]}").cast("binary").alias("payload"))
+    return transform.transform_star(synth.star_messages(payloads, "logs"), "logs").select("severity_text", "log_attributes")
 
 
 @query("""SELECT event_id::VARCHAR AS severity_text, CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN value::VARCHAR
@@ -189,16 +204,50 @@ def traces_protobuf(spark, sf_dir):
     return _hexed(transform.transform_traces(synth.as_format(span_payloads(spark, sf_dir), "traces", "protobuf"), "protobuf"), *_SPAN_COLUMNS)
 
 
-@query("""SELECT md5(user_id::VARCHAR) AS trace_id, '[' || string_agg('{"attributes":{"v":' || value::VARCHAR || '},"name":"' || event_type || '","time_unix_nano":' || (epoch_us(ts) * 1000) || '}', ',' ORDER BY event_id) || ']' AS events_json,
-  '[{"attributes":{},"span_id":"' || left(md5('l' || user_id), 16) || '","trace_id":"' || md5('l' || user_id) || '","trace_state":""}]' AS links_json FROM events GROUP BY user_id""")
-def traces_events_links(spark, sf_dir):
+@query(_SPANS % "0::INT")
+def traces_jsonl(spark, sf_dir):
+    return _hexed(transform.transform_traces(synth.as_format(span_payloads(spark, sf_dir), "traces", "jsonl"), "jsonl"), *_SPAN_COLUMNS)
+
+
+@query(_SPANS % "0::INT")
+def traces_star(spark, sf_dir):
+    return _hexed(transform.transform_star(synth.star_messages(span_payloads(spark, sf_dir), "traces"), "traces"), *_SPAN_COLUMNS)
+
+
+@query("""SELECT event_id::VARCHAR AS name, (event_id % 3)::INT AS status_code, CASE WHEN event_id % 3 = 2 THEN 'failed ' || event_id END AS status_status_message FROM events""")
+def traces_status(spark, sf_dir):
+    """Status codes as names and numbers."""
+    e = F.col("event_id").cast("string")
+    k = F.col("event_id") % 3
+    code = F.when(k == 0, '"STATUS_CODE_UNSET"').when(k == 1, '"STATUS_CODE_OK"').otherwise("2")
+    text = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"'), F.md5(e), F.lit('","spanId":"'), F.left(F.md5(e), F.lit(16)), F.lit('","name":"'), e, F.lit('","status":{"code":'), code, F.lit(',"message":"'), F.when(k == 2, F.concat(F.lit("failed "), e)).otherwise(""), F.lit('"}}]}]}]}'))
+    return transform.transform_traces(synth.read(spark, sf_dir, "events").select(F.col("event_id").alias("payload_id"), text.alias("payload")), "json").select("name", "status_code", "status_status_message")
+
+
+_CHILDREN = """SELECT md5(user_id::VARCHAR) AS trace_id, '[' || string_agg('{"attributes":{"v":' || value::VARCHAR || '},"name":"' || event_type || '","time_unix_nano":' || (epoch_us(ts) * 1000) || '}', ',' ORDER BY %s) || ']' AS events_json,
+  '[{"attributes":{},"span_id":"' || left(md5('l' || user_id), 16) || '","trace_id":"' || md5('l' || user_id) || '","trace_state":""}]' AS links_json FROM events GROUP BY user_id"""
+
+
+def child_payloads(spark, sf_dir) -> DataFrame:
+    """A payload a user: one span, an event for each of the user's events, one link."""
     e = synth.read(spark, sf_dir, "events")
     event = F.struct(F.col("event_id").alias("o"), F.struct(synth.nanos(F.col("ts")).cast("string").alias("timeUnixNano"), F.col("event_type").alias("name"), _attrs(v=("doubleValue", F.col("value"))).alias("attributes")).alias("e"))
     users = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(event["o"].alias("o"), F.to_json(event["e"]).alias("e")))), lambda x: x["e"]).alias("ev"))
     u = F.col("user_id").cast("string")
     link = F.md5(F.concat(F.lit("l"), u))
     text = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"'), F.md5(u), F.lit('","spanId":"'), F.left(F.md5(u), F.lit(16)), F.lit('","name":"user","events":['), F.array_join("ev", ","), F.lit('],"links":[{"traceId":"'), link, F.lit('","spanId":"'), F.left(link, F.lit(16)), F.lit('"}]}]}]}]}'))
-    return _hexed(transform.transform_traces(users.select(F.xxhash64("user_id").alias("payload_id"), text.alias("payload")), "json"), "trace_id", "events_json", "links_json")
+    return users.select(F.xxhash64("user_id").alias("payload_id"), text.alias("payload"))
+
+
+@query(_CHILDREN % "event_id")
+def traces_events_links(spark, sf_dir):
+    return _hexed(transform.transform_traces(child_payloads(spark, sf_dir), "json"), "trace_id", "events_json", "links_json")
+
+
+@query(_CHILDREN % "event_type, event_id")
+def traces_star_children(spark, sf_dir):
+    """Star events come sorted by name, their parents as differences where the name is that of the row before."""
+    return _hexed(transform.transform_star(synth.star_messages(child_payloads(spark, sf_dir), "traces"), "traces"), "trace_id", "events_json", "links_json")
 
 
 def _metric(name: Column, kind: str, point: Column, **more) -> Column:
@@ -228,6 +277,17 @@ def metrics_gauge_protobuf(spark, sf_dir):
     return transform.transform_metrics(synth.as_format(gauge_payloads(spark, sf_dir), "metrics", "protobuf"), "protobuf").gauge.select(*_GAUGE_COLUMNS)
 
 
+@query(_GAUGE)
+def metrics_gauge_jsonl(spark, sf_dir):
+    return transform.transform_metrics(synth.as_format(gauge_payloads(spark, sf_dir), "metrics", "jsonl"), "jsonl").gauge.select(*_GAUGE_COLUMNS)
+
+
+@query(_GAUGE)
+def metrics_gauge_star(spark, sf_dir):
+    """Points, attributes and exemplars of the star protocol."""
+    return transform.transform_star(synth.star_messages(gauge_payloads(spark, sf_dir), "metrics"), "metrics").gauge.select(*_GAUGE_COLUMNS)
+
+
 @query("""SELECT epoch_us(l_shipdate) * 1000 AS time_unix_nano, CASE WHEN l_linenumber = 1 THEN NULL ELSE 5 END::BIGINT AS start_time_unix_nano, l_quantity::BIGINT AS int_value, NULL::DOUBLE AS double_value, 'flag-' || l_returnflag AS service_name,
   (l_linenumber % 4)::INT AS aggregation_temporality, l_linestatus = 'O' AS is_monotonic, '{"order":' || l_orderkey || '}' AS metric_attributes FROM lineitem""")
 def metrics_sum(spark, sf_dir):
@@ -264,24 +324,56 @@ def _joined(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query(_HIST % "'100.0,250.0' AS bounds, 2::INT AS aggregation_temporality")
-def metrics_histogram(spark, sf_dir):
+def histogram_payloads(spark, sf_dir) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     point = F.struct(F.lit("1").alias("timeUnixNano"), s("n").alias("count"), F.col("s").alias("sum"), F.col("lo").alias("min"), F.col("hi").alias("max"), F.array(s("b0"), s("b1"), s("b2")).alias("bucketCounts"), F.array(F.lit(100.0), F.lit(250.0)).alias("explicitBounds"))
     h = _histograms(spark, sf_dir).withColumn("record", _metric(F.concat(F.lit("h."), F.col("event_type")), "histogram", point, aggregationTemporality=F.lit("AGGREGATION_TEMPORALITY_CUMULATIVE")))
-    t = transform.transform_metrics(synth.envelopes(h, "metrics", ["event_type"], F.col("event_type"), "meter", "o", 1 << 62), "json").histogram
+    return synth.envelopes(h, "metrics", ["event_type"], F.col("event_type"), "meter", "o", 1 << 62)
+
+
+def _histogram_rows(t: DataFrame) -> DataFrame:
     return t.select("name", F.col("count").cast("bigint").alias("n"), "sum", "min", "max", _joined(F.col("bucket_counts")).alias("buckets"), _joined(F.col("explicit_bounds")).alias("bounds"), "aggregation_temporality")
 
 
-@query(_HIST % "(count(*) % 8)::INT AS scale, count(*) FILTER (value < 100)::BIGINT AS zeros, -3::INT AS positive_offset, NULL::INT AS negative_offset")
-def metrics_exp_histogram(spark, sf_dir):
-    """Without negative buckets: their offset and list are null."""
+_HISTOGRAM = _HIST % "'100.0,250.0' AS bounds, 2::INT AS aggregation_temporality"
+
+
+@query(_HISTOGRAM)
+def metrics_histogram(spark, sf_dir):
+    return _histogram_rows(transform.transform_metrics(histogram_payloads(spark, sf_dir), "json").histogram)
+
+
+@query(_HISTOGRAM)
+def metrics_histogram_star(spark, sf_dir):
+    return _histogram_rows(transform.transform_star(synth.star_messages(histogram_payloads(spark, sf_dir), "metrics"), "metrics").histogram)
+
+
+def exp_histogram_payloads(spark, sf_dir) -> DataFrame:
+    """Every second point has negative buckets as well."""
     s = lambda c: F.col(c).cast("string")
     positive = F.struct(F.lit(-3).alias("offset"), F.array("b0", "b1", "b2").alias("bucketCounts"))
-    point = F.struct(F.lit("1").alias("timeUnixNano"), s("n").alias("count"), F.col("s").alias("sum"), F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("n") % 8).cast("int").alias("scale"), F.col("b0").alias("zeroCount"), positive.alias("positive"))
+    negative = F.when(F.col("n") % 2 == 0, F.struct(F.lit(4).alias("offset"), F.array("b2", "b0").alias("bucketCounts")))
+    point = F.struct(F.lit("1").alias("timeUnixNano"), s("n").alias("count"), F.col("s").alias("sum"), F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("n") % 8).cast("int").alias("scale"), F.col("b0").alias("zeroCount"), positive.alias("positive"), negative.alias("negative"))
     h = _histograms(spark, sf_dir).withColumn("record", _metric(F.concat(F.lit("h."), F.col("event_type")), "exponentialHistogram", point, aggregationTemporality=F.lit("1")))
-    t = transform.transform_metrics(synth.envelopes(h, "metrics", ["event_type"], F.col("event_type"), "meter", "o", 1 << 62), "json").exp_histogram.where("negative_bucket_counts is null")
-    return t.select("name", F.col("count").cast("bigint").alias("n"), "sum", "min", "max", _joined(F.col("positive_bucket_counts")).alias("buckets"), "scale", F.col("zero_count").cast("bigint").alias("zeros"), "positive_offset", "negative_offset")
+    return synth.envelopes(h, "metrics", ["event_type"], F.col("event_type"), "meter", "o", 1 << 62)
+
+
+def _exp_histogram_rows(t: DataFrame) -> DataFrame:
+    return t.select("name", F.col("count").cast("bigint").alias("n"), "sum", "min", "max", _joined(F.col("positive_bucket_counts")).alias("buckets"), "scale", F.col("zero_count").cast("bigint").alias("zeros"), "positive_offset", "negative_offset", _joined(F.col("negative_bucket_counts")).alias("negatives"))
+
+
+_EXP_HISTOGRAM = _HIST % """(count(*) % 8)::INT AS scale, count(*) FILTER (value < 100)::BIGINT AS zeros, -3::INT AS positive_offset, CASE WHEN count(*) % 2 = 0 THEN 4 END::INT AS negative_offset,
+  CASE WHEN count(*) % 2 = 0 THEN count(*) FILTER (value >= 250) || ',' || count(*) FILTER (value < 100) END AS negatives"""
+
+
+@query(_EXP_HISTOGRAM)
+def metrics_exp_histogram(spark, sf_dir):
+    return _exp_histogram_rows(transform.transform_metrics(exp_histogram_payloads(spark, sf_dir), "json").exp_histogram)
+
+
+@query(_EXP_HISTOGRAM)
+def metrics_exp_histogram_star(spark, sf_dir):
+    return _exp_histogram_rows(transform.transform_star(synth.star_messages(exp_histogram_payloads(spark, sf_dir), "metrics"), "metrics").exp_histogram)
 
 
 @query("""SELECT 'svc-' || event_type AS service_name, count(*) AS record_count, min(epoch_us(ts)) AS min_timestamp_micros FROM events GROUP BY event_type""")
@@ -346,7 +438,7 @@ def star_attr_join(spark, sf_dir):
 @query("""SELECT 0 AS status_code, '' AS message, count(*) AS batches FROM (SELECT DISTINCT event_type, event_id // 500 FROM events)""")
 def star_acks(spark, sf_dir):
     """One acknowledgement a batch, counted by code."""
-    acks = star_session.acks(star_session.decode_streams(synth.log_messages(log_payloads(spark, sf_dir)), "logs"))
+    acks = star_session.acks(star_session.decode_streams(synth.star_messages(log_payloads(spark, sf_dir), "logs"), "logs"))
     return acks.groupBy("status_code", "message").agg(F.count("*").alias("batches"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,7 +73,44 @@ def write_bytes(trees: DataFrame, signal: str) -> DataFrame:
 # star messages
 
 _ATTR = pa.schema([("parent_id", pa.uint16()), ("key", pa.string()), ("type", pa.uint8()), ("str", pa.string()), ("int", pa.int64()), ("double", pa.float64()), ("bool", pa.bool_()), ("bytes", pa.binary()), ("ser", pa.binary())])
-_KIND = {"stringValue": (1, "str"), "intValue": (2, "int"), "doubleValue": (3, "double"), "boolValue": (4, "bool"), "bytesValue": (7, "bytes")}
+_KIND = {"stringValue": (1, "str"), "intValue": (2, "int"), "doubleValue": (3, "double"), "boolValue": (4, "bool"), "bytesValue": (7, "bytes"), "kvlistValue": (5, "ser"), "arrayValue": (6, "ser")}
+
+
+def cbor(v: dict) -> bytes:
+    """A value tree as CBOR: what nested star values are sent as."""
+
+    def head(major: int, n: int) -> bytes:
+        for low, size in ((24, 1), (25, 2), (26, 4), (27, 8)):
+            if n < 24 or n < 1 << 8 * size:
+                return bytes([major << 5 | n]) if n < 24 else bytes([major << 5 | low]) + n.to_bytes(size, "big")
+        raise ValueError(n)
+
+    (name, x), *_ = [*v.items()] or [(None, None)]
+    match name:
+        case "stringValue":
+            return head(3, len(x.encode())) + x.encode()
+        case "bytesValue":
+            return head(2, len(x)) + x
+        case "intValue":
+            return head(0, x) if x >= 0 else head(1, -1 - x)
+        case "doubleValue":
+            return b"\xfb" + struct.pack(">d", x)
+        case "boolValue":
+            return b"\xf5" if x else b"\xf4"
+        case "arrayValue":
+            items = x.get("values", [])
+            return head(4, len(items)) + b"".join(cbor(i) for i in items)
+        case "kvlistValue":
+            items = x.get("values", [])
+            return head(5, len(items)) + b"".join(cbor({"stringValue": i["key"]}) + cbor(i.get("value", {})) for i in items)
+    return b"\xf6"
+
+
+def _typed(v: dict) -> dict:
+    """A value as the typed cells of a star row."""
+    (name, x), *_ = [*v.items()] or [(None, None)]
+    kind, field = _KIND.get(name, (0, None))
+    return {"type": kind, **({field: cbor(v) if field == "ser" else x} if field else {})}
 
 
 def _differences(values: list) -> list:
@@ -83,21 +121,19 @@ def _differences(values: list) -> list:
     return out
 
 
-def attr_batch(owners: list[tuple[int, list]]) -> pa.RecordBatch:
+def attr_batch(owners: list[tuple[int, list]], bits: int = 16) -> pa.RecordBatch:
     """Attributes of (parent id, KeyValue trees), sorted so that equal values stand together, parents as differences."""
     rows = []
     for parent, attrs in owners:
         for a in attrs:
-            (name, v), *_ = [*a["value"].items()] or [(None, None)]
-            kind, field = _KIND.get(name, (0, None))
-            rows.append({"parent_id": parent, "key": a["key"], "type": kind, **({field: v} if field else {})})
+            rows.append({"parent_id": parent, "key": a["key"], **_typed(a.get("value", {}))})
     rows.sort(key=lambda r: (r["type"], r["key"], str(r.get("str")), str(r.get("int")), str(r.get("double")), str(r.get("bool")), r["parent_id"]))
-    same = lambda a, b: a["type"] != 0 and all(a.get(k) == b.get(k) for k in ("type", "key", "str", "int", "double", "bool", "bytes"))
+    same = lambda a, b: a["type"] not in (0, 5, 6) and all(a.get(k) == b.get(k) for k in ("type", "key", "str", "int", "double", "bool", "bytes"))
     sent = [dict(r) for r in rows]
     for i in range(1, len(rows)):
         if same(rows[i - 1], rows[i]):
             sent[i]["parent_id"] = rows[i]["parent_id"] - rows[i - 1]["parent_id"]
-    return pa.RecordBatch.from_pylist(sent, schema=_ATTR)
+    return pa.RecordBatch.from_pylist(sent, schema=_ATTR if bits == 16 else _ATTR.set(0, pa.field("parent_id", pa.uint32())))
 
 
 class Writer:
@@ -119,45 +155,144 @@ class Writer:
         return {"schema_id": f"s{kind}", "type": kind, "record": raw.getvalue()[at:]}
 
 
+def _contexts(tree: dict, top: str, scopes: str, items: str) -> tuple[list, list, list]:
+    """Attributes by resource and by scope id, and the items with the cells of their context."""
+    resources, attrs, out = [], [], []
+    for r in tree[top]:
+        for s in r[scopes]:
+            given = s.get("scope", {})
+            context = {"resource": {"id": len(resources)}, "scope": {"id": len(attrs), "name": given.get("name"), "version": given.get("version")}}
+            attrs.append((len(attrs), given.get("attributes", [])))
+            out += [(context, x) for x in s[items]]
+        resources.append((len(resources), r.get("resource", {}).get("attributes", [])))
+    return resources, attrs, out
+
+
+def _root(rows: list[dict], schema: list) -> pa.RecordBatch:
+    """Root rows, their own ids and those of their contexts as differences."""
+    rows = [r | {"resource": dict(r["resource"]), "scope": dict(r["scope"])} for r in rows]
+    for cells in (rows, [r["resource"] for r in rows], [r["scope"] for r in rows]):
+        for o, d in zip(cells, _differences([o["id"] for o in cells])):
+            o["id"] = d
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.uint16()), *_CONTEXT, *schema]))
+
+
+def _children(rows: list[dict], schema: list, same: tuple[str, ...] | None, bits: int) -> pa.RecordBatch:
+    """Child rows, ids as differences; parents as differences to a previous row equal in ``same``, or to any (None)."""
+    parents = [r["parent_id"] for r in rows]
+    equal = [i > 0 and (same is None or all(rows[i].get(c) == rows[i - 1].get(c) for c in same)) for i in range(len(rows))]
+    sent = [r | {"id": d, "parent_id": p - parents[i - 1] if equal[i] else p} for i, (r, d, p) in enumerate(zip(rows, _differences([r["id"] for r in rows]), parents))]
+    return pa.RecordBatch.from_pylist(sent, schema=pa.schema([("parent_id", pa.uint16() if bits == 16 else pa.uint32()), ("id", pa.uint32()), *schema]))
+
+
+_NS = pa.timestamp("ns")
+_CONTEXT = [("resource", pa.struct([("id", pa.uint16())])), ("scope", pa.struct([("id", pa.uint16()), ("name", pa.string()), ("version", pa.string())]))]
+_IDS = [("trace_id", pa.binary(16)), ("span_id", pa.binary(8))]
+
+
+def _sent(writer: Writer, batches: dict[int, pa.RecordBatch]) -> list[dict]:
+    """Payloads of the root (first) and of all tables with rows."""
+    return [writer.payload(kind, b) for i, (kind, b) in enumerate(batches.items()) if i == 0 or b.num_rows]
+
+
+_BODY = pa.struct([f for f in _ATTR if f.name not in ("parent_id", "key")])
+
+
 def log_star(tree: dict, writer: Writer) -> list[dict]:
     """Payloads of one log request."""
-    rows, resources, scopes, attrs = [], [], [], []
-    for r in tree["resourceLogs"]:
-        rid = len(resources)
-        resources.append((rid, r.get("resource", {}).get("attributes", [])))
-        for s in r["scopeLogs"]:
-            sid = len(scopes)
-            scopes.append((sid, s.get("scope", {}).get("attributes", [])))
-            for x in s["logRecords"]:
-                i = len(rows)
-                attrs.append((i, x.get("attributes", [])))
-                (name, v), *_ = [*x.get("body", {}).items()] or [(None, None)]
-                kind, field = _KIND.get(name, (0, None))
-                rows.append({"id": i, "resource": {"id": rid}, "scope": {"id": sid, "name": s.get("scope", {}).get("name"), "version": s.get("scope", {}).get("version")}, "time_unix_nano": x.get("timeUnixNano"), "observed_time_unix_nano": x.get("observedTimeUnixNano"), "trace_id": x.get("traceId"), "span_id": x.get("spanId"), "severity_number": x.get("severityNumber"), "severity_text": x.get("severityText"), "event_name": x.get("eventName"), "body": {"type": kind, **({field: v} if field else {})} if "body" in x else None, "flags": 0, "dropped_attributes_count": 0})
-    for path in (("id",), ("resource", "id"), ("scope", "id")):
-        at = [r if len(path) == 1 else r[path[0]] for r in rows]
-        for o, d in zip(at, _differences([o[path[-1]] for o in at])):
-            o[path[-1]] = d
-    ts = pa.timestamp("ns")
-    value = pa.struct([("type", pa.uint8()), ("str", pa.string()), ("int", pa.int64()), ("double", pa.float64()), ("bool", pa.bool_()), ("bytes", pa.binary()), ("ser", pa.binary())])
-    schema = pa.schema([("id", pa.uint16()), ("resource", pa.struct([("id", pa.uint16())])), ("scope", pa.struct([("id", pa.uint16()), ("name", pa.string()), ("version", pa.string())])), ("time_unix_nano", ts), ("observed_time_unix_nano", ts), ("trace_id", pa.binary(16)), ("span_id", pa.binary(8)), ("severity_number", pa.int32()), ("severity_text", pa.string()), ("event_name", pa.string()), ("body", value), ("flags", pa.uint32()), ("dropped_attributes_count", pa.uint32())])
-    root = pa.RecordBatch.from_pylist(rows, schema=schema)
-    return [writer.payload(30, root), writer.payload(1, attr_batch(resources)), writer.payload(2, attr_batch(scopes)), writer.payload(31, attr_batch(attrs))]
+    resources, scopes, items = _contexts(tree, "resourceLogs", "scopeLogs", "logRecords")
+    rows = [context | {
+        "id": i, "time_unix_nano": x.get("timeUnixNano"), "observed_time_unix_nano": x.get("observedTimeUnixNano"), "trace_id": x.get("traceId") or None, "span_id": x.get("spanId") or None, "severity_number": x.get("severityNumber"),
+        "severity_text": x.get("severityText"), "event_name": x.get("eventName"), "body": _typed(x["body"]) if "body" in x else None, "flags": x.get("flags", 0), "dropped_attributes_count": x.get("droppedAttributesCount", 0),
+    } for i, (context, x) in enumerate(items)]
+    root = [("time_unix_nano", _NS), ("observed_time_unix_nano", _NS), *_IDS, ("severity_number", pa.int32()), ("severity_text", pa.string()), ("event_name", pa.string()), ("body", _BODY), ("flags", pa.uint32()), ("dropped_attributes_count", pa.uint32())]
+    payloads = {30: _root(rows, root), 1: attr_batch(resources), 2: attr_batch(scopes), 31: attr_batch([(i, x.get("attributes", [])) for i, (_, x) in enumerate(items)])}
+    return [writer.payload(kind, b) for kind, b in payloads.items()]
+
+
+def span_star(tree: dict, writer: Writer) -> list[dict]:
+    """Payloads of one trace request."""
+    resources, scopes, items = _contexts(tree, "resourceSpans", "scopeSpans", "spans")
+    spans, attrs, sides = [], [], {"events": [], "links": []}
+    for i, (context, x) in enumerate(items):
+        status = x.get("status")
+        start = x.get("startTimeUnixNano", 0)
+        spans.append(context | {
+            "id": i, "start_time_unix_nano": start, "duration_time_unix_nano": max(x.get("endTimeUnixNano", 0) - start, 0), "trace_id": x["traceId"], "span_id": x["spanId"], "parent_span_id": x.get("parentSpanId") or None, "name": x.get("name", ""), "kind": x.get("kind"),
+            "trace_state": x.get("traceState"), "flags": x.get("flags", 0), "status": None if status is None else {"code": status.get("code", 0), "status_message": status.get("message")},
+        })
+        attrs.append((i, x.get("attributes", [])))
+        for name, side in sides.items():
+            side += [(i, c) for c in x.get(name, [])]
+    # rows of equal name (or trace) stand together, as senders sort them; within a span the order of equal ones stays
+    events = [{"parent_id": p, "id": i, "name": c.get("name", ""), "time_unix_nano": c.get("timeUnixNano"), "attrs": c.get("attributes", [])} for i, (p, c) in enumerate(sorted(sides["events"], key=lambda e: e[1].get("name", "")))]
+    links = [{"parent_id": p, "id": i, "trace_id": c["traceId"], "span_id": c["spanId"], "trace_state": c.get("traceState"), "attrs": c.get("attributes", [])} for i, (p, c) in enumerate(sorted(sides["links"], key=lambda e: e[1]["traceId"]))]
+    root = [("start_time_unix_nano", _NS), ("duration_time_unix_nano", pa.duration("ns")), *_IDS, ("parent_span_id", pa.binary(8)), ("name", pa.string()), ("kind", pa.int32()), ("trace_state", pa.string()), ("flags", pa.uint32()), ("status", pa.struct([("code", pa.int32()), ("status_message", pa.string())]))]
+    return _sent(writer, {
+        40: _root(spans, root), 1: attr_batch(resources), 2: attr_batch(scopes), 41: attr_batch(attrs),
+        42: _children(events, [("name", pa.string()), ("time_unix_nano", _NS)], ("name",), 16), 43: _children(links, [*_IDS, ("trace_state", pa.string())], ("trace_id",), 16),
+        44: attr_batch([(e["id"], e["attrs"]) for e in events], 32), 45: attr_batch([(e["id"], e["attrs"]) for e in links], 32),
+    })
+
+
+_TIMES = [("start_time_unix_nano", _NS), ("time_unix_nano", _NS), ("flags", pa.uint32())]
+_STATS = [("count", pa.uint64()), ("sum", pa.float64()), ("min", pa.float64()), ("max", pa.float64())]
+_NUMBERS = [("int_value", pa.int64()), ("double_value", pa.float64())]
+_BUCKETS = pa.struct([("bucket_counts", pa.list_(pa.uint64())), ("offset", pa.int32())])
+
+
+def _point(x: dict) -> dict:
+    """The cells of a metric point of any shape."""
+    counts = lambda b: None if b is None else {"offset": b.get("offset", 0), "bucket_counts": b.get("bucketCounts", [])}
+    return {
+        "time_unix_nano": x.get("timeUnixNano"), "start_time_unix_nano": x.get("startTimeUnixNano"), "flags": x.get("flags", 0), "int_value": x.get("asInt"), "double_value": x.get("asDouble"), "count": x.get("count"), "sum": x.get("sum"), "min": x.get("min"), "max": x.get("max"),
+        "bucket_counts": x.get("bucketCounts"), "explicit_bounds": x.get("explicitBounds"), "scale": x.get("scale"), "zero_count": x.get("zeroCount"), "zero_threshold": x.get("zeroThreshold"), "positive": counts(x.get("positive")), "negative": counts(x.get("negative")),
+    }
+
+
+def metric_star(tree: dict, writer: Writer) -> list[dict]:
+    """Payloads of one metric request; gauges and sums share a table of points."""
+    resources, scopes, items = _contexts(tree, "resourceMetrics", "scopeMetrics", "metrics")
+    shapes = {"gauge": (1, "number"), "sum": (2, "number"), "histogram": (3, "histogram"), "exponentialHistogram": (4, "exp"), "summary": (5, "summary")}
+    metrics, points = [], {"number": [], "summary": [], "histogram": [], "exp": []}
+    for i, (context, x) in enumerate(items):
+        name = next(s for s in shapes if s in x)
+        kind, table = shapes[name]
+        metrics.append(context | {"id": i, "metric_type": kind, "name": x.get("name", ""), "description": x.get("description"), "unit": x.get("unit"), "aggregation_temporality": x[name].get("aggregationTemporality"), "is_monotonic": x[name].get("isMonotonic")})
+        points[table] += [(i, p) for p in x[name].get("dataPoints", [])]
+    root = [("metric_type", pa.uint8()), ("name", pa.string()), ("description", pa.string()), ("unit", pa.string()), ("aggregation_temporality", pa.int32()), ("is_monotonic", pa.bool_())]
+    out = {10: _root(metrics, root), 1: attr_batch(resources), 2: attr_batch(scopes)}
+    layouts = {
+        "number": (11, 15, 19, 22, _TIMES + _NUMBERS), "summary": (12, 16, None, None, _TIMES + _STATS[:2]), "histogram": (13, 17, 20, 23, _TIMES + _STATS + [("bucket_counts", pa.list_(pa.uint64())), ("explicit_bounds", pa.list_(pa.float64()))]),
+        "exp": (14, 18, 21, 24, _TIMES + _STATS + [("scale", pa.int32()), ("zero_count", pa.uint64()), ("zero_threshold", pa.float64()), ("positive", _BUCKETS), ("negative", _BUCKETS)]),
+    }
+    for table, (kind, attr_kind, exemplar_kind, exemplar_attr_kind, schema) in layouts.items():
+        rows = [_point(p) | {"parent_id": m, "id": i} for i, (m, p) in enumerate(points[table])]
+        out[kind] = _children(rows, schema, None, 16)
+        out[attr_kind] = attr_batch([(i, p.get("attributes", [])) for i, (_, p) in enumerate(points[table])], 32)
+        if exemplar_kind:
+            found = [(i, e) for i, (_, p) in enumerate(points[table]) for e in p.get("exemplars", [])]
+            found = sorted(found, key=lambda x: (str(x[1].get("asInt")), str(x[1].get("asDouble"))))
+            rows = [{"parent_id": p, "id": i, "int_value": e.get("asInt"), "double_value": e.get("asDouble"), "time_unix_nano": e.get("timeUnixNano", 0), "trace_id": e.get("traceId") or None, "span_id": e.get("spanId") or None} for i, (p, e) in enumerate(found)]
+            out[exemplar_kind] = _children(rows, [*_NUMBERS, ("time_unix_nano", _NS), *_IDS], ("int_value", "double_value"), 32)
+            out[exemplar_attr_kind] = attr_batch([(i, e.get("filteredAttributes", [])) for i, (_, e) in enumerate(found)], 32)
+    return _sent(writer, out)
 
 
 MESSAGE = "stream_id string, batch_id bigint, payloads array<struct<schema_id:string,type:int,record:binary>>"
 
 
-def log_messages(payloads: DataFrame, streams: int = 8) -> DataFrame:
-    """JSON log payloads as star messages, dealt to a few streams, each with one writer."""
+STARS = {"logs": log_star, "traces": span_star, "metrics": metric_star}
+
+
+def star_messages(payloads: DataFrame, signal: str, streams: int = 8) -> DataFrame:
+    """JSON payloads as star messages, dealt to a few streams, each with one writer."""
 
     def run(t: pa.Table) -> pa.Table:
         writer, out = Writer(), []
         for i, (stream, data) in enumerate(sorted(zip(t["stream"].to_pylist(), t["payload"].to_pylist()))):
-            out.append({"stream_id": f"stream-{stream}", "batch_id": i, "payloads": log_star(wire.read_json("logs", data), writer)})
+            out.append({"stream_id": f"stream-{stream}", "batch_id": i, "payloads": STARS[signal](wire.read_json(signal, data), writer)})
         schema = pa.schema([("stream_id", pa.string()), ("batch_id", pa.int64()), ("payloads", pa.list_(pa.struct([("schema_id", pa.string()), ("type", pa.int32()), ("record", pa.binary())])))])
         return pa.Table.from_pylist(out, schema=schema)
 
     return payloads.select(F.pmod("payload_id", F.lit(streams)).cast("int").alias("stream"), "payload").groupBy("stream").applyInArrow(run, MESSAGE)
-
-
