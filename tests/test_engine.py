@@ -368,6 +368,59 @@ def test_star_streaming(spark, tmp_path):
     assert out.where("error is null and `table` = 'logs'").count() == 3 and out.where("error is not null").count() == 0
 
 
+def test_star_ingest(spark, tmp_path):
+    """Metrics of two streams to four tables and acknowledgements; a bad message closes its own stream only."""
+    from tidemark.streaming import ingest
+
+    tree = {"resourceMetrics": [{"resource": {"attributes": []}, "scopeMetrics": [{"scope": {}, "metrics": [{"name": "g", "gauge": {"dataPoints": [{"asInt": 1}, {}]}}, {"name": "h", "histogram": {"dataPoints": [{"count": 3, "bucketCounts": [1, 2], "explicitBounds": [0.5]}]}}]}]}]}
+    src = str(tmp_path / "in")
+    for stream in "ab":
+        w = synth.Writer()
+        sent = [[(p["schema_id"], p["type"], bytearray(p["record"])) for p in synth.metric_star(tree, w)] for _ in range(3)]
+        if stream == "b":
+            sent[1] = [(i, kind, bytearray(b"no")) for i, kind, _ in sent[1]]
+        for i, m in enumerate(sent):
+            spark.createDataFrame([(stream, i, m)], synth.MESSAGE).coalesce(1).write.mode("append").parquet(f"{src}/{i}")
+    messages = ingest.read_payloads(spark, f"{src}/*", synth.MESSAGE, 2)
+    ingest.ingest_star(messages, "metrics", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert {(r.stream_id, r.batch_id): r.status_code for r in read("acks").collect()} == {("a", 0): 0, ("a", 1): 0, ("a", 2): 0, ("b", 0): 0, ("b", 1): 3, ("b", 2): 3}
+    assert sorted((r.stream_id, r.batch_id, r.int_value) for r in read("gauge").collect()) == [("a", 0, 1), ("a", 1, 1), ("a", 2, 1), ("b", 0, 1)]
+    assert read("histogram").count() == 4 and read("sum").count() == 0 and read("skipped").agg(F.sum("missing_values")).first()[0] == 4
+
+
+def test_observation(spark):
+    """Counters come with the action and leave the rows as they are."""
+    from tidemark.plans import observe
+
+    r = {"resource": {"attributes": [attr("a", intValue=1)]}, "scopeLogs": [{"scope": {"attributes": [attr("b", intValue=2)]}, "logRecords": [{"severityText": "x"}, {"severityText": "y"}]}]}
+    p = payloads(spark, json.dumps({"resourceLogs": [r, r]}))
+    plain = t.transform_logs(p, "json", keep_order=True)
+    table, seen = observe.observed(plain)
+    assert table.collect() == plain.collect()
+    found = {x["counter"]: x["value"] for x in observe.report(seen, "logs")}
+    assert found == {"output_rows": 4, "resource_attributes_row_copies": 4, "resource_attributes_row_copy_bytes": 4 * len('{"a":1}'), "scope_attributes_row_copies": 4, "scope_attributes_row_copy_bytes": 4 * len('{"b":2}')}
+    every = {r.counter: r.value for r in observe.counters(plain, "logs").collect()}
+    assert every == found | {"resource_context_duplicate_hit": 1, "resource_context_duplicate_miss": 1, "scope_context_duplicate_hit": 1, "scope_context_duplicate_miss": 1}
+    times = []
+    assert observe.decode_json(p, "logs", "json", lambda *x: times.append(x)).count() == 4 and times[0][:2] == ("logs", "json_decode") and times[0][2] > 0
+    with pytest.raises(ValueError, match="JSON or JSONL"):
+        observe.decode_json(p, "logs", "protobuf")
+
+
+def test_convert(spark, tmp_path):
+    """Payload files to one Parquet folder a table; a bad file is listed."""
+    from tidemark.plans import convert
+
+    (tmp_path / "in").mkdir()
+    tree = json.loads(_metric("gauge", dataPoints=[{"asInt": "1"}, {}]))
+    for name, data in (("a.pb", wire.write("metrics", wire.read_json("metrics", json.dumps(tree).encode()))), ("b.pb", b"\xff"), ("c.txt", b"x")):
+        (tmp_path / "in" / name).write_bytes(data)
+    found = convert.convert(spark, "metrics", str(tmp_path / "in"), str(tmp_path / "out"), pattern="*.pb")
+    assert found == {"gauge": 1, "sum": 0, "histogram": 0, "exp_histogram": 0, "errors": 1, "summaries": 0, "nan_values": 0, "infinity_values": 0, "missing_values": 1, "total": 1}
+    assert spark.read.parquet(str(tmp_path / "out/errors")).first().path.endswith("b.pb")
+
+
 def test_star_state_stays_flat():
     """A stream of 1,000 batches, some of which replace a dictionary: what is kept does not grow, and any batch can be read from it."""
     import io

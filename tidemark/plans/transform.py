@@ -16,6 +16,8 @@ from ..operators.partition import group_by_service
 from ..sources.decode import decode
 
 ORDINALS = normalize.ORDINALS
+#: What a star message is told by; ``payload_id`` is its batch_id.
+STAR_KEYS = ("stream_id", "payload_id")
 
 
 class MetricTables:
@@ -42,16 +44,24 @@ class Partitioned:
     groups: DataFrame
 
 
-def checked(ir: DataFrame, signal: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and (payload_id, error) of bad payloads."""
+def checked(ir: DataFrame, signal: str, mode: str, keys: tuple[str, ...] = ("payload_id",)) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and (keys, error) of bad payloads."""
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
     ir = normalize.with_errors(ir, signal)
-    errors = ir.where("error is not null").groupBy("payload_id").agg(F.min("error").alias("error"))
+    errors = ir.where("error is not null").groupBy(*keys).agg(F.min("error").alias("error"))
     if mode == "failfast":
-        fail = F.raise_error(F.concat(F.lit("payload "), F.col("payload_id").cast("string"), F.lit(": "), F.col("error")))
+        fail = F.raise_error(F.concat(F.lit("payload "), F.concat_ws(":", *keys), F.lit(": "), F.col("error")))
         return ir.where(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True))), errors
-    return ir.where("error is null").join(errors.select("payload_id"), "payload_id", "left_anti"), errors
+    return ir.where("error is null").join(errors.select(*keys), list(keys), "left_anti"), errors
+
+
+def tables_of(ir: DataFrame, signal: str, mode: str = "failfast", keep: list = (), keys: tuple[str, ...] = ("payload_id",)) -> tuple[dict[str, DataFrame], DataFrame, DataFrame | None]:
+    """All tables of a signal's intermediate rows, its errors and, for metrics, the skipped points."""
+    good, errors = checked(ir, signal, mode, keys)
+    if signal == "metrics":
+        return {k: normalize.metrics(good, k, keep) for k in MetricTables.NAMES}, errors, normalize.skipped(good)
+    return {signal: (normalize.logs if signal == "logs" else normalize.traces)(good, keep)}, errors, None
 
 
 def transform_logs(payloads: DataFrame, fmt: str | None = None, mode: str = "failfast", keep_order: bool = False) -> DataFrame:
@@ -65,8 +75,8 @@ def transform_traces(payloads: DataFrame, fmt: str | None = None, mode: str = "f
     return normalize.traces(good, ORDINALS if keep_order else [])
 
 
-def metric_tables(ir: DataFrame, mode: str = "failfast", keep_order: bool = False) -> MetricTables:
-    good, errors = checked(ir, "metrics", mode)
+def metric_tables(ir: DataFrame, mode: str = "failfast", keep_order: bool = False, keys: tuple[str, ...] = ("payload_id",)) -> MetricTables:
+    good, errors = checked(ir, "metrics", mode, keys)
     return MetricTables(good, errors, ORDINALS if keep_order else [])
 
 
@@ -117,6 +127,6 @@ def transform_star(messages: DataFrame, signal: str, mode: str = "failfast", kee
         star = star.where(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True)))
     ir = IRS[signal](star)
     if signal == "metrics":
-        return metric_tables(ir.drop("stream_id"), mode, keep_order)
-    good, _ = checked(ir.drop("stream_id"), signal, mode)
+        return metric_tables(ir, mode, keep_order, STAR_KEYS)
+    good, _ = checked(ir, signal, mode, STAR_KEYS)
     return (normalize.logs if signal == "logs" else normalize.traces)(good, ORDINALS if keep_order else [])

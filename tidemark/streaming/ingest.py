@@ -3,7 +3,7 @@
 ``ingest`` reads a landing folder of payload rows and writes the signal's tables
 in each micro-batch, idempotent by batch id.  ``star_stream`` keeps one session
 per stream in keyed state: the bytes that an IPC stream needs to go on (schemas
-and dictionaries).  A decode error poisons a stream; later batches of it are
+and dictionaries); ``ingest_star`` joins it to the sinks.  A decode error poisons a stream; later batches of it are
 answered with an error and not read.
 """
 
@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.star import IRS
 from ..plans import transform
 from ..sources import sinks, wire
+from ..sources.decode import decode
 from ..sources.star_session import STAR, Session, standing, star_rows, star_schema, star_table
 
 PAYLOADS = "payload_id bigint, payload binary, format string, token string"
@@ -43,16 +45,15 @@ def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expecte
             code = admission(F.col("payload"), F.col("token") if "token" in batch.columns else F.lit(None), expected_token)
             seen = batch.withColumn("_code", code)
             good = seen.where(F.col("_code") == OK).drop("_code")
-            errors = transform.errors_of(good, signal, fmt)
-            acks = seen.select("payload_id", "_code").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", F.lit("")).alias("message"))
-            if signal == "metrics":
-                m = transform.transform_metrics(good, fmt, "permissive")
-                sinks.deliver_metrics(m.tables(), path, batch_id)
-                m.skipped.write.mode("overwrite").parquet(f"{path}/skipped/batch={batch_id}")
-            else:
-                table = (transform.transform_logs if signal == "logs" else transform.transform_traces)(good, fmt, "permissive")
-                sinks.with_field_ids(table).write.mode("overwrite").parquet(f"{path}/{signal}/batch={batch_id}")
-            acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+            ir = decode(good, signal, fmt).persist()  # read by the tables, the errors and the skipped points
+            try:
+                tables, errors, skipped = transform.tables_of(ir, signal, "permissive")
+                acks = seen.select("payload_id", "_code").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", F.lit("")).alias("message"))
+                # acknowledgements come last: what is acknowledged is written
+                sinks.deliver(tables | ({} if skipped is None else {"skipped": skipped}), path, batch_id)
+                acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+            finally:
+                ir.unpersist()
         finally:
             batch.unpersist()
 
@@ -98,3 +99,30 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
     return messages.groupBy("stream_id").applyInPandasWithState(run, STAR, "kinds array<int>, ids array<string>, records array<binary>, failed string", "append", GroupStateTimeout.NoTimeout)
 
 
+def ingest_star(messages: DataFrame, signal: str, path: str, checkpoint: str):
+    """Start a query from star messages to tables and acknowledgements below ``path``; returns the StreamingQuery.
+
+    Tables carry stream_id and batch_id.  A message that cannot be decoded closes
+    its stream; one whose rows are refused by normalization is left out whole and
+    answered as invalid, and its stream goes on.
+    """
+
+    def write(star: DataFrame, batch_id: int) -> None:
+        star = star.persist()
+        try:
+            ir = IRS[signal](star).persist()
+            try:
+                keep = [F.col("stream_id"), F.col("payload_id").alias("batch_id")]
+                tables, errors, skipped = transform.tables_of(ir, signal, "permissive", keep, transform.STAR_KEYS)
+                refused = errors.select("stream_id", F.col("payload_id").alias("batch_id"), "error")
+                decoded = star.where("`table` = 'message' or error is not null").select("stream_id", "batch_id", F.col("error").alias("_error"))
+                found = decoded.join(refused, ["stream_id", "batch_id"], "left").withColumn("message", F.coalesce("_error", "error", F.lit("")))
+                acks = found.select("stream_id", "batch_id", F.when(F.col("message") != "", INVALID).otherwise(OK).alias("status_code"), "message")
+                sinks.deliver(tables | ({} if skipped is None else {"skipped": skipped}), path, batch_id)
+                acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+            finally:
+                ir.unpersist()
+        finally:
+            star.unpersist()
+
+    return star_stream(messages, signal).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
