@@ -148,13 +148,14 @@ def test_schemas(spark):
 
 def test_double_text(spark):
     r = random.Random(2)
-    v = [0.0, -0.0, 1.0, -2.5, 1e15, 1e16, 123456789012345680.0, 1e-4, 1e-5, 1e-6, 1.5e-7, 5e-324, 1.7976931348623157e308, 100.0, 0.1] + [r.uniform(-1, 1) * 10 ** r.randint(-20, 25) for _ in range(200)]
+    v = [0.0, -0.0, 1.0, -2.5, 1e15, 1e16, 123456789012345680.0, 1e-4, 1e-5, 1e-6, 1.5e-7, 5e-324, 1.7976931348623157e308, 100.0, 0.1, 1e23, 8.41e21, -1.726200372779891e18, 2.805402233662086e17, 2e-3, 1e7, 12345678.5, -123456.789] + [r.uniform(-1, 1) * 10 ** r.randint(-20, 25) for _ in range(200)]
     rows = spark.createDataFrame([(x,) for x in v], "v double").select("v", json_double(F.col("v")).alias("j"), display_double(F.col("v")).alias("d")).collect()
     for x, y in zip(v, rows):
         assert float(y.j) == x and float(y.d) == x and "e" not in y.d and "E" not in y.j
     assert [x.j for x in rows[:11]] == ["0.0", "-0.0", "1.0", "-2.5", "1000000000000000.0", "1e16", "1.2345678901234568e17", "0.0001", "0.00001", "1e-6", "1.5e-7"]
-    # the JVM prints a few doubles with a digit more than needed; they read back all the same
-    assert sum(wire.double_text(x) == y.j for x, y in zip(v, rows)) >= 0.9 * len(v)
+    # where two texts of the shortest length read back, the JVM's may be the farther one
+    wrong = [x for x, y in zip(v, rows) if wire.double_text(x) != y.j]
+    assert all(len(f"{x!r}".split("e")[0].replace(".", "").strip("-0")) >= 16 for x in wrong) and len(wrong) <= 2
 
 
 def test_quote(spark):

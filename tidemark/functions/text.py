@@ -9,15 +9,36 @@ from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 
-def _parts(c: Column) -> tuple[Column, Column]:
-    """Significant digits of a finite, non-zero double, and the place of its point counted from their start."""
-    s = F.abs(c).cast("string")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, so that the expression doesn't grow with each use of it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _shortest(c: Column) -> Column:
+    """Text of |c| with as few digits as read back: the JVM's may have one or two too many where it has 16 or more, or is subnormal."""
+    size = F.abs(c)
+    s = size.cast("string")
+    digits = F.length(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"^0\.0*|\.", ""))
+    with_digits = lambda n: F.replace(F.upper(F.call_function("format_string", F.concat(F.lit("%."), F.greatest(n - 1, F.lit(0)).cast("string"), F.lit("e")), size)), F.lit("+"), F.lit(""))
+    reads_back = lambda t: t.cast("double") == size
+    fewest = F.coalesce(F.get(F.filter(F.transform(F.array(digits - 2, digits - 1), with_digits), reads_back), F.lit(0)), s)
+    return F.when((F.length(s) > 16) | (size < 2.3e-308), fewest).otherwise(s)
+
+
+def _common(c: Column) -> Column:
+    """Whether the JVM's text has no exponent and no digit too many, as most numbers have it: it is then taken as it is."""
+    s = c.cast("string")
+    return (F.length(s) <= 16) & ~F.contains(s, F.lit("E"))
+
+
+def _parts(s: Column) -> Column:
+    """Of the JVM's text of a positive double: its significant ``digits`` and the place of its ``point`` counted from their start."""
     mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
     whole, fraction = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
     power = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(s, r"E(-?[0-9]+)$", 1), F.lit("")), F.lit("S999")).cast("int"), F.lit(0))
     lead = F.when(whole == "0", -F.length(F.regexp_extract(fraction, r"^(0*)", 1))).otherwise(F.length(whole))
     digits = F.regexp_replace(F.regexp_replace(F.concat(whole, fraction), r"^0+", ""), r"0+$", "")
-    return digits, lead + power
+    return F.struct(digits.alias("digits"), (lead + power).alias("point"))
 
 
 def _plain(digits: Column, point: Column, tail: str) -> Column:
@@ -27,23 +48,28 @@ def _plain(digits: Column, point: Column, tail: str) -> Column:
     )
 
 
-def _signed(c: Column, text: Column, zero: str) -> Column:
-    minus = F.when((c < 0) | (c.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(minus, F.when(c == 0, F.lit(zero)).otherwise(text))
+def _rare(c: Column, body) -> Column:
+    """Sign, and ``body`` of the digits and the point of a number that is not 0."""
+    text = _let(_shortest(c), lambda s: _let(_parts(s), lambda p: body(p["digits"], p["point"])))
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def json_double(c: Column) -> Column:
     """Shortest text that reads back; ``1.0``, ``1e16``, ``1.5e-7``.  For finite values."""
-    digits, point = _parts(c)
-    first, rest = F.substr(digits, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2))
-    science = F.concat(first, F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), F.lit("e"), (point - 1).cast("string"))
-    return _signed(c, F.when((point > -5) & (point <= 16), _plain(digits, point, ".0")).otherwise(science), "0.0")
+
+    def text(digits: Column, point: Column) -> Column:
+        first, rest = F.substr(digits, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2))
+        science = F.concat(first, F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), F.lit("e"), (point - 1).cast("string"))
+        return F.when((point > -5) & (point <= 16), _plain(digits, point, ".0")).otherwise(science)
+
+    return F.when(_common(c), c.cast("string")).otherwise(_rare(c, text))
 
 
 def display_double(c: Column) -> Column:
     """As ``json_double`` but never with an exponent, and without ``.0``."""
-    digits, point = _parts(c)
-    return _signed(c, _plain(digits, point, ""), "0")
+    s = c.cast("string")
+    short = F.when(F.endswith(s, F.lit(".0")), F.left(s, F.length(s) - 2)).otherwise(s)
+    return F.when(_common(c), short).otherwise(_rare(c, lambda digits, point: _plain(digits, point, "")))
 
 
 def finite(c: Column) -> Column:

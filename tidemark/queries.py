@@ -486,6 +486,16 @@ def double_text(spark, sf_dir):
     return synth.read(spark, sf_dir, "events").select("event_id", json_double(F.col("value")).alias("json"), display_double(F.col("value")).alias("display"))
 
 
+#: Doubles whose shortest text the JVM does not print by itself, with the text that they must have in JSON.
+_HARD_DOUBLES = (("1e23", "1e23"), ("8.41e21", "8.41e21"), ("5e-324", "5e-324"), ("-1.726200372779891e18", "-1.726200372779891e18"), ("2.805402233662086e17", "2.805402233662086e17"), ("0.002", "0.002"), ("10000000.0", "10000000.0"), ("1e16", "1e16"), ("0.00001", "0.00001"), ("0.0000015", "1.5e-6"))
+
+
+@query("SELECT event_id, (CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{text}'" for i, (_, text) in enumerate(_HARD_DOUBLES)) + " END) AS json FROM events")
+def double_text_shortest(spark, sf_dir):
+    given = F.element_at(F.array(*(F.lit(float(x)) for x, _ in _HARD_DOUBLES)), (F.col("event_id") % 10 + 1).cast("int"))
+    return synth.read(spark, sf_dir, "events").select("event_id", json_double(given).alias("json"))
+
+
 @query("""SELECT 'svc-' || event_type AS service_name, 'INFO' AS severity_text, count(*) AS n FROM events GROUP BY event_type""")
 def logs_by_service(spark, sf_dir):
     """SQL over the registered view."""
