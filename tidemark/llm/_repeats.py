@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import buckets, materialize, text_bytes
-from ._vec import BYTE, SLICE, U, mix, ngrams, powers, row_starts, runs, sliding_argmin, span_hash, text_slices, words
+from ._vec import ROLL, SLICE, U, mix, ngrams, powers, row_starts, runs, sliding_argmin, text_slices, window_hash, words
 
 FLUSH = 1_500_000
 #: Different contents of an anchor from which its windows are dealt one by one, one content in SAMPLE looked at, and the most such anchors (64 MB when sent to tasks).
@@ -56,7 +56,7 @@ class Units:
     def read(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash values of all units, and each row's first unit (n + 1)."""
         if self.kind == "byte":
-            return BYTE[buf], off
+            return ROLL[buf], off
         _, _, row, h = words(buf, off)
         return h, row
 
@@ -93,10 +93,10 @@ class Units:
         if split.any():
             each = n[split]
             one = np.repeat(lo[split] - np.cumsum(each) + each, each) + np.arange(each.sum())
-            own = mix(span_hash(sums, one, one + self.length) + U(0xD6E8FEB86659FD93))
+            own = mix(window_hash(sums, one, one + self.length) + U(0xD6E8FEB86659FD93))
             r, h = np.concatenate((r[~split], np.repeat(r[split], each))), np.concatenate((h[~split], own))
             lo, n = np.concatenate((lo[~split], one)), np.concatenate((n[~split], np.ones(len(one), n.dtype)))
-        return r, h, span_hash(sums, lo, lo + n - 1 + self.length), lo - row[r], n
+        return r, h, window_hash(sums, lo, lo + n - 1 + self.length), lo - row[r], n
 
 
 def _sampled(units: Units):

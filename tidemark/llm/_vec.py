@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 20
 U = np.uint64
@@ -31,10 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-#: As BYTE, with A-Z folded onto a-z.
+#: A random value of each byte, for rolling hashes of windows of a few hundred bytes.
+ROLL = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+#: What a byte counts as when spans are compared: itself, or with A-Z folded onto a-z.
+BYTE = np.arange(256, dtype=np.uint8)
 BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
+#: Spans of more bytes are hashed one by one by xxh3; the first n bytes of a block of eight.
+LONG = 256
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def lut(chars: bytes) -> np.ndarray:
@@ -96,23 +102,48 @@ def spans(buf: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def prefix(buf: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """Polynomial prefix sums of the buffer (n + 1)."""
-    out = np.zeros(len(buf) + 1, U)
-    np.cumsum(values[buf] * powers(len(buf))[0] if len(buf) else np.zeros(0, U), out=out[1:])
-    return out
-
+def window_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit rolling hashes of spans of a few hundred units, from the prefix sums of value times power.
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by their content and length."""
+    Linear modulo 2**64, so texts of 1,024 bytes and more are known that collide: for bounded windows only.
+    """
     h = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
     return mix(h + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
 
 
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
+    """64-bit hashes of byte spans of any length, by their content and length.
+
+    Each block of eight bytes goes through the non-linear finaliser together
+    with the state before it.
+    """
+    if values is not BYTE:
+        buf = values[buf]
+    size = ends - starts
+    h = mix(size.astype(U) * U(0xA0761D6478BD642F) + U(0x9E3779B97F4A7C15))
+    blocks = np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (blocks[at] & _FIRST[np.minimum(left, 8)])) * U(0x9FB21C651E98DF25))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(buf[starts[i] : ends[i]]))
+    return h
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, others: np.ndarray) -> bool:
+    """Whether each span of ``buf`` has the bytes of the span of ``other`` that starts at the same place of ``others``; sizes are equal."""
+    size = ends - starts
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return bool((buf[np.repeat(starts, size) + inside] == other[np.repeat(others, size) + inside]).all())
+
+
 def words(buf: np.ndarray, off: np.ndarray, word: np.ndarray = NOT_SPACE, values: np.ndarray = BYTE):
     """starts, ends, first word of each row, hash of each word."""
     s, e, row = spans(buf, off, word)
-    return s, e, row, span_hash(prefix(buf, values), s, e)
+    return s, e, row, span_hash(buf, s, e, values)
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -121,7 +152,9 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, U)
     out = h[: len(h) - n + 1] * U(1)
     for i in range(1, n):
-        out = out * U(0x2545F4914F6CDD1D) + h[i : len(h) - n + 1 + i]
+        out *= U(0x2545F4914F6CDD1D)
+        out ^= out >> U(32)
+        out += h[i : len(h) - n + 1 + i]
     return mix(out)
 
 

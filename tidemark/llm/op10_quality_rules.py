@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import packed_rows, unpacked_rows
-from ._vec import BYTE, NOT_SPACE, counts_within, lut, ngrams, prefix, row_starts, span_hash, spans, text_slices, union_length, words
+from ._vec import BYTE_LOWER, NOT_SPACE, counts_within, lut, ngrams, row_starts, span_hash, spans, text_slices, union_length, words
 
 _SYMBOL = lut(b"#*$%&|<>")
 _NEWLINE = ~lut(b"\n")
@@ -36,8 +36,6 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bad_lines long, lost_share double, base_failed boolean, kept boolean"
 #: Words from which a line may end without a closing mark: it is a paragraph that was cut, not a heading or a menu.
 SHORT = 12
-_LOWER = BYTE.copy()
-_LOWER[65:91] = BYTE[97:123]
 _PLAIN = _ALPHA | lut(b"0123456789")
 
 
@@ -45,7 +43,7 @@ def _phrase_hashes(phrases) -> dict[int, np.ndarray]:
     by: dict[int, list[int]] = {}
     for p in phrases:
         b = np.frombuffer(p.encode(), np.uint8)
-        h = words(b, np.array([0, len(b)]), _PLAIN, _LOWER)[3]
+        h = words(b, np.array([0, len(b)]), _PLAIN, BYTE_LOWER)[3]
         by.setdefault(len(h), []).append(int(ngrams(h, len(h))[0]))
     return {n: np.array(sorted(x), np.uint64) for n, x in by.items()}
 
@@ -62,12 +60,11 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int, max_repeat: int, m
     is_word = NOT_SPACE[buf]
     lead = cum(is_word & ((buf & 0xC0) != 0x80))
     symbols = cum(_SYMBOL[buf])
-    sums = prefix(buf)
     ls, le, lrow = spans(buf, off, _NEWLINE)
     line_row = np.repeat(np.arange(n), np.diff(lrow))
     line_words = np.searchsorted(ws, le) - np.searchsorted(ws, ls)
     has_word = line_words > 0
-    lh = span_hash(sums, ls, le)
+    lh = span_hash(buf, ls, le)
     # a line that equals an earlier one of its row: all but the first of each (row, hash)
     order = np.lexsort((np.arange(len(lh)), lh, line_row))
     again = np.zeros(len(lh), bool)
@@ -85,7 +82,7 @@ def measure(buf: np.ndarray, off: np.ndarray, min_words: int, max_repeat: int, m
     noisy = (sym * 5 > 2 * line_words) & (sym >= 2) | (alpha * 2 < chars) | (shouts * 2 > line_words) & (line_words >= 4)
     loud = (upper * 10 > 7 * np.maximum(alpha, 1)) & (line_words >= 6)
     ps, pe, _ = spans(buf, off, _PLAIN)
-    ph = span_hash(prefix(buf, _LOWER), ps, pe)
+    ph = span_hash(buf, ps, pe, BYTE_LOWER)
     first_plain, end_plain = np.searchsorted(ps, ls), np.searchsorted(ps, le)
     nav = cum(np.isin(ngrams(ph, 1), _NAV))
     nav = nav[end_plain] - nav[first_plain]
