@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules
+from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules, op11_exact_topk, op13_fill_in_middle
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_packing": op8_packing.query,
         "op9_benchmark_decontamination": op9_benchmark_decontamination.query,
         "op10_quality_rules": op10_quality_rules.query,
+        "op11_exact_topk": op11_exact_topk.query,
+        "op13_fill_in_middle": op13_fill_in_middle.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": op4_chat_formatting.ORACLE,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join.ORACLE,
+        "op11_exact_topk": op11_exact_topk.ORACLE,
+        "op13_fill_in_middle": op13_fill_in_middle.ORACLE,
     }
