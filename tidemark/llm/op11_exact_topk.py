@@ -12,8 +12,8 @@ query block and each query once a candidate block, and a cell's memory is set by
 ``QUERY_VALUES`` and ``CANDIDATE_VALUES``, not by the tables.
 
 Scores are exact: 32- or 64-bit floats while no partial sum can reach 2**24 or
-2**53, else Python integers; a score beyond 64 bits is returned as the nearest
-long.  Ties go to the smaller id.  A vector that is null or holds a null or a
+2**53, else Python integers; a score beyond 64 bits counts as the nearest long.
+Ties go to the smaller id.  A vector that is null or holds a null or a
 component that is not finite (or not, times scale) takes no part, nor does a row
 without an id.  Missing components of a shorter vector are zeros; an empty vector
 scores zero.  A candidate with a query's own id is not its candidate.  Rows
@@ -106,14 +106,15 @@ def _cell(k: int, scale: int):
             first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
             ref, step = queries["ref"].to_numpy(), max(1, SCORES // len(ids))
             for i in range(0, len(q), step):
-                for j, scores in enumerate(accumulate(q[i : i + step], lists, len(ids)), i):
+                sums = accumulate(q[i : i + step], lists, len(ids))
+                for j, scores in enumerate(np.minimum(np.maximum(sums, -_LONG - 1), _LONG) if kind is object else sums, i):
                     scores[first[j] : last[j]] = -math.inf
                     at = best(scores, k)
                     at = at[(scores[at] != -math.inf).astype(bool)]
                     out[0].append(np.full(len(at), own[j]))
                     out[1].append(np.full(len(at), ref[j]))
                     out[2].append(ids[at])
-                    out[3].append(np.array([min(max(int(x), -_LONG - 1), _LONG) for x in scores[at]], np.int64))
+                    out[3].append(scores[at].astype(np.int64))
         return pa.table([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out], schema=schema)
 
     return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules, op11_exact_topk, op13_fill_in_middle
+from . import op1_token_counts, op2_license_scans, op3_token_ids, op4_chat_formatting, op5_suffix_array_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_packing, op9_benchmark_decontamination, op10_quality_rules, op11_exact_topk, op12_collocations, op13_fill_in_middle
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_benchmark_decontamination": op9_benchmark_decontamination.query,
         "op10_quality_rules": op10_quality_rules.query,
         "op11_exact_topk": op11_exact_topk.query,
+        "op12_collocations": op12_collocations.query,
         "op13_fill_in_middle": op13_fill_in_middle.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_formatting": op4_chat_formatting.ORACLE,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join.ORACLE,
         "op11_exact_topk": op11_exact_topk.ORACLE,
+        "op12_collocations": op12_collocations.ORACLE,
         "op13_fill_in_middle": op13_fill_in_middle.ORACLE,
     }
