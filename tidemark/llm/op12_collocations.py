@@ -40,7 +40,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._io import materialize, quoted, scratch, skew_join
 from ._vec import BYTE_LOWER, U, lut, mix, same_spans, span_hash, spans, text_slices
 
-SLICE_BYTES, BLOCK, PART, SPLIT = 16 << 20, 1 << 20, 1 << 20, 1 << 20
+SLICE_BYTES, PART, SPLIT = 16 << 20, 1 << 20, 1 << 20
+#: Words looked at at a time, and fragments of a slice that are counted together.
+BLOCK, TOGETHER = 1 << 18, 1 << 21
 #: Bytes of a long text that are cut into words at a time.
 STEP = 4 << 20
 SEPARATOR = lut(b".,;:!?\n\x0b\x0c\r")
@@ -161,8 +163,8 @@ def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], differ)))
 
 
-def fragments(rank: np.ndarray, new: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Pivots at places lo to hi, and their columns left 3, 2, 1, pivot, right 1, 2, 3; 0 where there is none.
+def fragments(rank: np.ndarray, new: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    """Fragments of the pivots at places lo to hi: columns left 3, 2, 1, pivot, right 1, 2, 3; 0 where there is none.
 
     ``rank``: 0 for an infrequent word, else larger for a rarer one.
     """
@@ -179,9 +181,9 @@ def fragments(rank: np.ndarray, new: np.ndarray, lo: int, hi: int) -> tuple[np.n
             other = rank[safe]
             edge = new[np.where(inside, there + 1, 0) if side < 0 else safe]
             ok = ok & inside & ~edge & (other > 0) & ((other < mid) if side < 0 else (other <= mid))
-            columns[side * d] = np.where(ok, other, 0)
+            columns[side * d] = np.where(ok, other, 0).astype(rank.dtype)
     some = np.flatnonzero((columns[-1] > 0) | (columns[1] > 0))
-    return some, [columns[k][some] for k in range(-3, 4)]
+    return [columns[k][some] for k in range(-3, 4)]
 
 
 def _route(parts: int, split: int, kind: str):
@@ -190,39 +192,45 @@ def _route(parts: int, split: int, kind: str):
 
     def run(payload: pa.Table, known: pa.Table) -> pa.Table:
         codec, rows = pa.Codec("zstd"), [[], [], [], [], []]
+
+        def flush(columns: list[np.ndarray]) -> None:
+            # pivot first, so that equal pivots stand together
+            order, first = grouped(packed_keys([columns[i] for i in (3, 2, 4, 1, 5, 0, 6)], len(ids)))
+            if not len(order):
+                return
+            count = np.diff(np.append(first, len(order)))
+            columns = [c[order[first]] for c in columns]
+            pivot, salt = columns[3], np.zeros(len(first), U)
+            many = np.flatnonzero(salts[pivot] > 1)
+            if len(many):
+                own = np.zeros(len(many), U)
+                for c in columns:
+                    own = mix(own ^ ids[c[many]].astype(U))
+                salt[many] = own % salts[pivot[many]].astype(U)
+            part = (mix(mix(ids[pivot].astype(U)) + salt) % U(parts)).astype(np.int64)
+            hot = salts[pivot] > 1
+            order, first = grouped([hot.astype(U), part.astype(U)])
+            for a, b in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
+                x = order[a:b]
+                data = b"".join([*(ids[c[x]].astype(kind).tobytes() for c in columns), count[x].astype("<u4").tobytes()])
+                for held, value in zip(rows, (part[x[0]], hot[x[0]], len(x), len(data), codec.compress(data, asbytes=True))):
+                    held.append(value)
+
         if payload.num_rows and known.num_rows:
             places = np.frombuffer(payload["ids"][0].as_buffer(), "<u4")
             new = np.unpackbits(np.frombuffer(payload["new"][0].as_buffer(), np.uint8), count=len(places)).astype(bool)
             known = known.sort_by("id")
             ids = np.concatenate(([0], known["id"].to_numpy()))
             salts = np.concatenate(([1], -(-known["f"].to_numpy() // split)))
-            ranks = np.zeros(int(places.max()) + 1, np.int64)
+            ranks = np.zeros(int(places.max()) + 1, np.int32)
             ranks[known["pos"].to_numpy()] = np.arange(1, len(ids))
-            rank = ranks[places]
+            rank, held, size = ranks[places], [], 0
             for lo in range(0, len(rank), BLOCK):
-                _, columns = fragments(rank, new, lo, min(lo + BLOCK, len(rank)))
-                # pivot first, so that equal pivots stand together
-                keys = packed_keys([columns[i] for i in (3, 2, 4, 1, 5, 0, 6)], len(ids))
-                order, first = grouped(keys)
-                if not len(order):
-                    continue
-                count = np.diff(np.append(first, len(order)))
-                columns = [c[order[first]] for c in columns]
-                pivot, salt = columns[3], np.zeros(len(first), U)
-                many = np.flatnonzero(salts[pivot] > 1)
-                if len(many):
-                    own = np.zeros(len(many), U)
-                    for c in columns:
-                        own = mix(own ^ ids[c[many]].astype(U))
-                    salt[many] = own % salts[pivot[many]].astype(U)
-                part = (mix(mix(ids[pivot].astype(U)) + salt) % U(parts)).astype(np.int64)
-                hot = salts[pivot] > 1
-                order, first = grouped([hot.astype(U), part.astype(U)])
-                for a, b in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
-                    x = order[a:b]
-                    data = b"".join([*(ids[c[x]].astype(kind).tobytes() for c in columns), count[x].astype("<u4").tobytes()])
-                    for held, value in zip(rows, (part[x[0]], hot[x[0]], len(x), len(data), codec.compress(data, asbytes=True))):
-                        held.append(value)
+                held.append(fragments(rank, new, lo, min(lo + BLOCK, len(rank))))
+                size += len(held[-1][0])
+                if size >= TOGETHER or lo + BLOCK >= len(rank):
+                    flush([np.concatenate(x) for x in zip(*held)])
+                    held, size = [], 0
         return pa.table([pa.array(x, f.type) for x, f in zip(rows, schema)], schema=schema)
 
     return run, "part long, hot boolean, n long, size long, data binary"
