@@ -504,3 +504,4 @@ def logs_by_service(spark, sf_dir):
     return spark.sql("SELECT service_name, severity_text, count(*) AS n FROM tidemark_logs GROUP BY ALL")
 
 
+from . import queries_io  # noqa: E402, F401  (adds its queries)
