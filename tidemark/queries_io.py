@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import queries as q, synth
+from .plans import table_functions, transform
 from .queries import query
-from .plans import table_functions
+from .sources import payload_log, table_log
+from .sources.folders import new_folder
 
 
 def _files(sf_dir: str, name: str) -> str:
@@ -53,3 +58,39 @@ def sql_lateral_points(spark, sf_dir):
         points AS (SELECT r.flag, m.name, m.aggregation_temporality, count(*) AS n, sum(m.int_value) AS v FROM requests r, LATERAL otlp(r.payload, 'auto', 'sum') m GROUP BY ALL),
         missing AS (SELECT r.flag, r.mode AS name, sum(s.total) AS skipped, sum(r.unseen) AS unseen FROM requests r, LATERAL otlp_skipped(r.payload, 'auto') s GROUP BY ALL)
         SELECT flag, name, aggregation_temporality, n + skipped AS points, v + unseen AS total, skipped FROM points JOIN missing USING (flag, name)""")
+
+
+def _logged(spark, payloads, **options) -> str:
+    """Payloads written to a new log; its path."""
+    payload_log.register(spark)
+    path = new_folder(spark, "payload_log")
+    payloads.write.format(payload_log.NAME).options(**options).mode("append").save(path)
+    return path
+
+
+@query(q._LOGS)
+def payload_log_logs(spark, sf_dir):
+    """Wire bytes through packed segments of a payload log, read in ranges of 32 KiB that begin anywhere."""
+    path = _logged(spark, synth.as_format(q.log_payloads(spark, sf_dir), "logs", "protobuf"), packing="gzip")
+    read = spark.read.format(payload_log.NAME).option("splitBytes", 32 << 10).load(path)
+    return q._hexed(transform.transform_logs(read.select("payload_id", "payload", "format")), *q._LOG_COLUMNS)
+
+
+@query("""SELECT status_code, message, count(*) AS n, coalesce(sum(CASE WHEN status_code = 0 THEN event_id % 20 END), 0)::BIGINT AS bytes FROM (
+  SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 16 WHEN event_id % 20 > 12 THEN 8 ELSE 0 END AS status_code, CASE WHEN event_id % 7 = 0 THEN 'wrong token' WHEN event_id % 20 > 12 THEN 'message is larger than 12 bytes' ELSE '' END AS message FROM events) GROUP BY ALL""")
+def payload_log_admission(spark, sf_dir):
+    """Messages by their status: a wrong token, too large a message, admitted."""
+    events = synth.read(spark, sf_dir, "events").select(F.col("event_id").alias("payload_id"), F.repeat(F.lit("x"), (F.col("event_id") % 20).cast("int")).alias("payload"), F.when(F.col("event_id") % 7 > 0, "good").otherwise("bad").alias("token"))
+    read = spark.read.format(payload_log.NAME).options(token="good", maxMessageBytes=12).load(_logged(spark, events, lane="events"))
+    return read.groupBy("status_code", "message").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"))
+
+
+@query("""SELECT 'gauge' AS "table", count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events UNION ALL SELECT 'sum', count(*), sum(l_quantity::BIGINT)::BIGINT * 100 FROM lineitem""")
+def table_log_metrics(spark, sf_dir):
+    """Two tables in one commit, which is tried twice, read back through the manifests."""
+    log = table_log.TableLog(spark, new_folder(spark, "table_log"))
+    gauge = transform.transform_metrics(q.gauge_payloads(spark, sf_dir), "json").gauge.select("name", F.round(F.col("double_value") * 100).cast("bigint").alias("cents"))
+    total = synth.read(spark, sf_dir, "lineitem").select(F.lit("qty").alias("name"), (F.col("l_quantity").cast("bigint") * 100).alias("cents"))
+    for _ in range(2):
+        log.commit({"gauge": gauge, "sum": total}, 7)
+    return log.read("gauge").withColumn("table", F.lit("gauge")).unionByName(log.read("sum").withColumn("table", F.lit("sum"))).groupBy("table").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))

@@ -17,6 +17,7 @@ from ..operators.star import IRS
 from ..plans import transform
 from ..sources import sinks, wire
 from ..sources.decode import decode
+from ..sources.table_log import TableLog
 from ..sources.star_session import STAR, Session, standing, star_rows, star_schema, star_table
 
 PAYLOADS = "payload_id bigint, payload binary, format string, token string"
@@ -36,28 +37,45 @@ def admission(payload: Column, token: Column | None = None, expected: str | None
     return code if expected is None else F.when(~token.eqNullSafe(F.lit(expected)), UNAUTHENTICATED).otherwise(code)
 
 
-def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expected_token: str | None = None, fmt: str | None = None):
-    """Start a query that writes tables and acknowledgements below ``path``; returns the StreamingQuery."""
+def deliver(tables: dict[str, DataFrame], acks: DataFrame, path: str, batch_id: int, atomic: bool) -> None:
+    """Tables and acknowledgements of a micro-batch.
+
+    ``atomic``: in one commit of a ``TableLog``.  Otherwise in a folder a table
+    and batch, acknowledgements last: what is acknowledged is written.
+    """
+    if atomic:
+        TableLog(acks.sparkSession, path).commit(tables | {"acks": acks}, batch_id)
+    else:
+        sinks.deliver(tables, path, batch_id)
+        acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+
+
+def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expected_token: str | None = None, fmt: str | None = None, atomic: bool = False, trigger: dict | None = None):
+    """Start a query that writes tables and acknowledgements below ``path``; returns the StreamingQuery.
+
+    Where the source has admitted messages itself (columns status_code and
+    message, as those of ``payload_log``), its word counts; else they are admitted here.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if atomic and TableLog(batch.sparkSession, path).committed(batch_id):
+            return
         batch = batch.persist()
         try:
-            code = admission(F.col("payload"), F.col("token") if "token" in batch.columns else F.lit(None), expected_token)
-            seen = batch.withColumn("_code", code)
+            code = F.col("status_code") if "status_code" in batch.columns else admission(F.col("payload"), F.col("token") if "token" in batch.columns else F.lit(None), expected_token)
+            seen = batch.withColumn("_code", code).withColumn("_said", F.col("message") if "message" in batch.columns else F.lit(""))
             good = seen.where(F.col("_code") == OK).drop("_code")
             ir = decode(good, signal, fmt).persist()  # read by the tables, the errors and the skipped points
             try:
                 tables, errors, skipped = transform.tables_of(ir, signal, "permissive")
-                acks = seen.select("payload_id", "_code").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", F.lit("")).alias("message"))
-                # acknowledgements come last: what is acknowledged is written
-                sinks.deliver(tables | ({} if skipped is None else {"skipped": skipped}), path, batch_id)
-                acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+                acks = seen.select("payload_id", "_code", "_said").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", "_said", F.lit("")).alias("message"))
+                deliver(tables | ({} if skipped is None else {"skipped": skipped}), acks, path, batch_id, atomic)
             finally:
                 ir.unpersist()
         finally:
             batch.unpersist()
 
-    return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def star_stream(messages: DataFrame, signal: str) -> DataFrame:
