@@ -44,21 +44,32 @@ class Partitioned:
     groups: DataFrame
 
 
-def checked(ir: DataFrame, signal: str, mode: str, keys: tuple[str, ...] = ("payload_id",)) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and (keys, error) of bad payloads."""
+def _decoded(payloads: DataFrame, signal: str, fmt: str | None, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows and errors of payloads; permissive decoding knows a payload's error before its rows are made."""
+    whole = mode == "permissive"
+    return checked(decode(payloads, signal, fmt, whole), signal, mode, whole=whole)
+
+
+def checked(ir: DataFrame, signal: str, mode: str, keys: tuple[str, ...] = ("payload_id",), whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and (keys, error) of bad payloads; ``whole``: a row with an error is its payload's only one, so nothing is joined."""
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
+    if whole and mode == "permissive":
+        return ir.where("error is null"), ir.where("error is not null").select(*keys, "error")
     ir = normalize.with_errors(ir, signal)
     errors = ir.where("error is not null").groupBy(*keys).agg(F.min("error").alias("error"))
     if mode == "failfast":
         fail = F.raise_error(F.concat(F.lit("payload "), F.concat_ws(":", *keys), F.lit(": "), F.col("error")))
-        return ir.where(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True))), errors
+        bad = F.col("error").isNotNull()
+        if "shape" in ir.columns:  # what picks a table's points sees the error first, so any table fails with its payload
+            return ir.withColumn("shape", F.when(bad, fail.cast("tinyint")).otherwise(F.col("shape"))), errors
+        return ir.where(F.when(bad, fail.cast("boolean")).otherwise(F.lit(True))), errors
     return ir.where("error is null").join(errors.select(*keys), list(keys), "left_anti"), errors
 
 
-def tables_of(ir: DataFrame, signal: str, mode: str = "failfast", keep: list = (), keys: tuple[str, ...] = ("payload_id",)) -> tuple[dict[str, DataFrame], DataFrame, DataFrame | None]:
+def tables_of(ir: DataFrame, signal: str, mode: str = "failfast", keep: list = (), keys: tuple[str, ...] = ("payload_id",), whole: bool = False) -> tuple[dict[str, DataFrame], DataFrame, DataFrame | None]:
     """All tables of a signal's intermediate rows, its errors and, for metrics, the skipped points."""
-    good, errors = checked(ir, signal, mode, keys)
+    good, errors = checked(ir, signal, mode, keys, whole)
     if signal == "metrics":
         return {k: normalize.metrics(good, k, keep) for k in MetricTables.NAMES}, errors, normalize.skipped(good)
     return {signal: (normalize.logs if signal == "logs" else normalize.traces)(good, keep)}, errors, None
@@ -66,12 +77,12 @@ def tables_of(ir: DataFrame, signal: str, mode: str = "failfast", keep: list = (
 
 def transform_logs(payloads: DataFrame, fmt: str | None = None, mode: str = "failfast", keep_order: bool = False) -> DataFrame:
     """The logs table; ``keep_order`` adds the ordinals of input order."""
-    good, _ = checked(decode(payloads, "logs", fmt), "logs", mode)
+    good, _ = _decoded(payloads, "logs", fmt, mode)
     return normalize.logs(good, ORDINALS if keep_order else [])
 
 
 def transform_traces(payloads: DataFrame, fmt: str | None = None, mode: str = "failfast", keep_order: bool = False) -> DataFrame:
-    good, _ = checked(decode(payloads, "traces", fmt), "traces", mode)
+    good, _ = _decoded(payloads, "traces", fmt, mode)
     return normalize.traces(good, ORDINALS if keep_order else [])
 
 
@@ -82,11 +93,12 @@ def metric_tables(ir: DataFrame, mode: str = "failfast", keep_order: bool = Fals
 
 def transform_metrics(payloads: DataFrame, fmt: str | None = None, mode: str = "failfast", keep_order: bool = False) -> MetricTables:
     """Four tables and the counts of skipped points, from one decode plan."""
-    return metric_tables(decode(payloads, "metrics", fmt), mode, keep_order)
+    good, errors = _decoded(payloads, "metrics", fmt, mode)
+    return MetricTables(good, errors, ORDINALS if keep_order else [])
 
 
 def errors_of(payloads: DataFrame, signal: str, fmt: str | None = None) -> DataFrame:
-    return checked(decode(payloads, signal, fmt), signal, "permissive")[1]
+    return _decoded(payloads, signal, fmt, "permissive")[1]
 
 
 def transform_partitioned(payloads: DataFrame, signal: str, fmt: str | None = None, mode: str = "failfast") -> Partitioned | dict[str, Partitioned]:

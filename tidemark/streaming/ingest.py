@@ -65,9 +65,9 @@ def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expecte
             code = F.col("status_code") if "status_code" in batch.columns else admission(F.col("payload"), F.col("token") if "token" in batch.columns else F.lit(None), expected_token)
             seen = batch.withColumn("_code", code).withColumn("_said", F.col("message") if "message" in batch.columns else F.lit(""))
             good = seen.where(F.col("_code") == OK).drop("_code")
-            ir = decode(good, signal, fmt).persist()  # read by the tables, the errors and the skipped points
+            ir = decode(good, signal, fmt, whole=True).persist()  # read by the tables, the errors and the skipped points
             try:
-                tables, errors, skipped = transform.tables_of(ir, signal, "permissive")
+                tables, errors, skipped = transform.tables_of(ir, signal, "permissive", whole=True)
                 acks = seen.select("payload_id", "_code", "_said").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", "_said", F.lit("")).alias("message"))
                 deliver(tables | ({} if skipped is None else {"skipped": skipped}), acks, path, batch_id, atomic)
             finally:
