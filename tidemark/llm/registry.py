@@ -29,6 +29,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": op4_chat_formatting.ORACLE,
+        "op6_substring_dedup": op6_substring_dedup.ORACLE,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join.ORACLE,
         "op11_exact_topk": op11_exact_topk.ORACLE,
         "op12_collocations": op12_collocations.ORACLE,
