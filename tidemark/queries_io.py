@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from . import queries as q, synth
 from .plans import table_functions, transform
 from .queries import query
-from .sources import payload_log, table_log
+from .schemas import ANY, BOOL, BYTES, DOUBLE, INT, STR
+from .sources import payload_log, table_log, trace_lookup
 from .sources.folders import new_folder
 
 
@@ -94,3 +95,34 @@ def table_log_metrics(spark, sf_dir):
     for _ in range(2):
         log.commit({"gauge": gauge, "sum": total}, 7)
     return log.read("gauge").withColumn("table", F.lit("gauge")).unionByName(log.read("sum").withColumn("table", F.lit("sum"))).groupBy("table").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+
+
+def _typed(key: str, field: str, kind: int, c) -> Column:
+    value = {"kind": F.lit(kind), "str": None, "int": None, "dbl": None, "bool": None, "bytes": None, "json": None} | {field: c}
+    return F.struct(F.lit(key).alias("key"), F.struct(*((F.lit(None) if v is None else v).alias(k) for k, v in value.items())).cast(ANY).alias("value"))
+
+
+def typed_spans(spark, sf_dir):
+    """A span an item, a trace an order, with an attribute of each kind."""
+    items, orders = synth.read(spark, sf_dir, "lineitem"), synth.read(spark, sf_dir, "orders")
+    attrs = F.array(_typed("flag", "str", STR, F.col("l_returnflag")), _typed("part", "int", INT, F.col("l_partkey")), _typed("price", "dbl", DOUBLE, F.col("l_extendedprice").cast("double")), _typed("open", "bool", BOOL, F.col("l_linestatus") == "O"), _typed("raw", "bytes", BYTES, F.unhex(F.md5(F.col("l_suppkey").cast("string")))))
+    made = {
+        "trace_id": F.md5(F.col("o_orderkey").cast("string")), "span_id": F.left(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber")), F.lit(16)), "parent_span_id": F.lit(""), "trace_state": F.lit("w=1"), "name": F.col("l_linestatus"), "kind": F.lit(2),
+        "start_time_unix_nano": synth.nanos(F.col("o_orderdate")), "end_time_unix_nano": synth.nanos(F.col("l_shipdate")), "attrs": attrs, "dropped_attributes": F.col("l_linenumber"), "dropped_events": F.lit(2), "dropped_links": F.lit(3), "flags": F.lit(1),
+        "status_code": F.lit(1), "status_message": F.lit(""), "resource_attrs": F.array(_typed("service.name", "str", STR, F.concat(F.lit("s-"), F.col("o_orderstatus"))), _typed("cust", "int", INT, F.col("o_custkey"))), "resource_schema_url": F.lit("r"),
+        "scope_name": F.col("l_returnflag"), "scope_version": F.lit("1"), "scope_attrs": F.array(_typed("n", "int", INT, F.lit(7).cast("long"))), "scope_schema_url": F.lit(""),
+    }
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*(c.alias(k) for k, c in made.items()))
+
+
+@query("""SELECT md5(o_orderkey::VARCHAR) AS trace_id, left(md5(l_orderkey || '-' || l_linenumber), 16) AS span_id, l_returnflag AS flag, l_partkey::BIGINT AS part, l_extendedprice::DOUBLE AS price, l_linestatus = 'O' AS open, md5(l_suppkey::VARCHAR) AS raw,
+  o_custkey::BIGINT AS cust, l_returnflag AS scope_name, 7::BIGINT AS scope_n, l_linenumber::BIGINT AS dropped_attributes, 2::BIGINT AS dropped_events, 1::INTEGER AS status_code FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def trace_responses_typed(spark, sf_dir):
+    """Responses with typed attributes of span, resource and scope, read back."""
+    back = trace_lookup.read_responses(trace_lookup.responses(typed_spans(spark, sf_dir)))
+    of = lambda column, key, field: F.element_at(F.filter(column, lambda a: a["key"] == key), 1)["value"][field]
+    text = lambda c: F.lower(F.hex(c))
+    return back.select(
+        text("trace_id").alias("trace_id"), text("span_id").alias("span_id"), of("attrs", "flag", "str").alias("flag"), of("attrs", "part", "int").alias("part"), of("attrs", "price", "dbl").alias("price"), of("attrs", "open", "bool").alias("open"), text(of("attrs", "raw", "bytes")).alias("raw"),
+        of("resource_attrs", "cust", "int").alias("cust"), "scope_name", of("scope_attrs", "n", "int").alias("scope_n"), "dropped_attributes", "dropped_events", "status_code",
+    )
