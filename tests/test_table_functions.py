@@ -137,7 +137,7 @@ def test_unknown_groups_are_skipped():
             wire.read("Scope", broken)
 
 
-@pytest.mark.parametrize("name", ["sql_lateral_logs", "sql_lateral_errors", "sql_lateral_points", "payload_log_logs", "payload_log_admission", "table_log_metrics", "trace_responses_typed"])
+@pytest.mark.parametrize("name", ["sql_lateral_logs", "sql_lateral_errors", "sql_lateral_points", "payload_log_logs", "payload_log_admission", "table_log_metrics", "trace_responses_typed", "star_ack_codes"])
 def test_query_equals_sql(spark, sf, views, name):  # noqa: F811
     df = q.queries()[name](spark, sf)
     cols = sorted(df.columns)

@@ -8,8 +8,9 @@ from . import queries as q, synth
 from .plans import table_functions, transform
 from .queries import query
 from .schemas import ANY, BOOL, BYTES, DOUBLE, INT, STR
-from .sources import payload_log, table_log, trace_lookup
+from .sources import payload_log, star_session, table_log, trace_lookup
 from .sources.folders import new_folder
+from .streaming import status
 
 
 def _files(sf_dir: str, name: str) -> str:
@@ -126,3 +127,17 @@ def trace_responses_typed(spark, sf_dir):
         text("trace_id").alias("trace_id"), text("span_id").alias("span_id"), of("attrs", "flag", "str").alias("flag"), of("attrs", "part", "int").alias("part"), of("attrs", "price", "dbl").alias("price"), of("attrs", "open", "bool").alias("open"), text(of("attrs", "raw", "bytes")).alias("raw"),
         of("resource_attrs", "cust", "int").alias("cust"), "scope_name", of("scope_attrs", "n", "int").alias("scope_n"), "dropped_attributes", "dropped_events", "status_code",
     )
+
+
+@query("""SELECT status_code, status, message, count(*) AS batches FROM (
+    SELECT CASE event_id % 10 WHEN 4 THEN 3 WHEN 7 THEN 8 ELSE 0 END AS status_code, CASE event_id % 10 WHEN 4 THEN 'INVALID_ARGUMENT' WHEN 7 THEN 'RESOURCE_EXHAUSTED' ELSE 'OK' END AS status,
+      CASE event_id % 10 WHEN 4 THEN 'trace_id must be 16 bytes, got 0' WHEN 7 THEN 'ingest buffer full' ELSE '' END AS message FROM events WHERE event_id % 10 IN (4, 7, 9)) GROUP BY ALL""")
+def star_ack_codes(spark, sf_dir):
+    """A stream an event of some kinds: a span whose id is zero closes its stream, a large message finds no room, others are fine."""
+    e = synth.read(spark, sf_dir, "events").where("event_id % 10 in (4, 7, 9)")
+    trace = F.when(F.col("event_id") % 10 == 4, "0" * 32).otherwise(F.md5(F.col("event_id").cast("string")))
+    name = F.when(F.col("event_id") % 10 == 7, F.repeat(F.lit("x"), 20_000)).otherwise(F.lit("x"))
+    text = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"'), trace, F.lit('","spanId":"0102030405060708","name":"'), name, F.lit('"}]}]}]}'))
+    messages = synth.star_messages(e.select(F.col("event_id").alias("payload_id"), text.cast("binary").alias("payload")), "traces", 1 << 30)
+    acks = star_session.acks(star_session.decode_streams(messages, "traces", budget=20_000))
+    return acks.withColumn("status", status.name_of(F.col("status_code"))).groupBy("status_code", "status", "message").agg(F.count("*").alias("batches"))

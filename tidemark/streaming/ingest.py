@@ -17,8 +17,9 @@ from ..operators.star import IRS
 from ..plans import transform
 from ..sources import sinks, wire
 from ..sources.decode import decode
+from ..sources.star_session import STAR, Budget, Session, refused_row, standing, star_rows, star_schema, star_table
 from ..sources.table_log import TableLog
-from ..sources.star_session import STAR, Session, standing, star_rows, star_schema, star_table
+from . import status
 
 PAYLOADS = "payload_id bigint, payload binary, format string, token string"
 MAX_MESSAGE = 4 << 20
@@ -37,20 +38,28 @@ def admission(payload: Column, token: Column | None = None, expected: str | None
     return code if expected is None else F.when(~token.eqNullSafe(F.lit(expected)), UNAUTHENTICATED).otherwise(code)
 
 
-def deliver(tables: dict[str, DataFrame], acks: DataFrame, path: str, batch_id: int, atomic: bool) -> None:
+def deliver(tables: dict[str, DataFrame], acks: DataFrame, path: str, batch_id: int, atomic: bool, answer_failures: bool = False) -> None:
     """Tables and acknowledgements of a micro-batch.
 
     ``atomic``: in one commit of a ``TableLog``.  Otherwise in a folder a table
     and batch, acknowledgements last: what is acknowledged is written.
+    ``answer_failures`` (atomic only): a batch that cannot be written is answered
+    with internal errors, of which its senders know to send again; else the query fails.
     """
     if atomic:
-        TableLog(acks.sparkSession, path).commit(tables | {"acks": acks}, batch_id)
+        log = TableLog(acks.sparkSession, path)
+        try:
+            log.commit(tables | {"acks": acks}, batch_id)
+        except Exception:
+            if not answer_failures:
+                raise
+            log.commit({"acks": status.after_failure(acks)}, batch_id)
     else:
         sinks.deliver(tables, path, batch_id)
         acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
 
 
-def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expected_token: str | None = None, fmt: str | None = None, atomic: bool = False, trigger: dict | None = None):
+def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expected_token: str | None = None, fmt: str | None = None, atomic: bool = False, trigger: dict | None = None, answer_failures: bool = False):
     """Start a query that writes tables and acknowledgements below ``path``; returns the StreamingQuery.
 
     Where the source has admitted messages itself (columns status_code and
@@ -69,7 +78,7 @@ def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expecte
             try:
                 tables, errors, skipped = transform.tables_of(ir, signal, "permissive", whole=True)
                 acks = seen.select("payload_id", "_code", "_said").join(errors, "payload_id", "left").select("payload_id", F.when(F.col("error").isNotNull(), INVALID).otherwise(F.col("_code")).alias("status_code"), F.coalesce("error", "_said", F.lit("")).alias("message"))
-                deliver(tables | ({} if skipped is None else {"skipped": skipped}), acks, path, batch_id, atomic)
+                deliver(tables | ({} if skipped is None else {"skipped": skipped}), acks, path, batch_id, atomic, answer_failures)
             finally:
                 ir.unpersist()
         finally:
@@ -78,9 +87,12 @@ def ingest(payloads: DataFrame, signal: str, path: str, checkpoint: str, expecte
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def star_stream(messages: DataFrame, signal: str) -> DataFrame:
+def star_stream(messages: DataFrame, signal: str, budget: int | None = None) -> DataFrame:
     """Star rows of a stream of messages (stream_id, batch_id, payloads), one session per stream_id.
 
+    ``budget``: bytes of messages that a stream may bring in a micro-batch; a
+    message beyond them is answered as refused, and its stream goes on.
+
     State: the schema and the dictionaries of each open IPC stream, not its rows,
     so it stays as large as the dictionaries are, however long a stream is.
     """
@@ -92,7 +104,7 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kinds, ids, records, failed = state.get if state.exists else ([], [], [], "")
         kept = {i: (kind, record) for kind, i, record in zip(kinds, ids, records)}
-        session, rows = Session(), []
+        session, rows, room = Session(), [], Budget(budget)
         for schema_id, (kind, record) in kept.items():
             session.restore(kind, schema_id, record)
         got = pd.concat(list(pdfs)).sort_values("batch_id")
@@ -102,7 +114,8 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
                 continue
             given = [p if isinstance(p, dict) else p.asDict() for p in payloads]
             try:
-                rows += star_rows(key[0], batch_id, session.message(signal, given))
+                tables = session.message(signal, given)
+                rows += star_rows(key[0], batch_id, tables) if room.takes(given) else [refused_row(key[0], batch_id)]
             except (wire.DecodeError, ValueError) as e:
                 failed = str(e)
                 rows.append({"stream_id": key[0], "batch_id": batch_id, "error": failed})
@@ -117,12 +130,12 @@ def star_stream(messages: DataFrame, signal: str) -> DataFrame:
     return messages.groupBy("stream_id").applyInPandasWithState(run, STAR, "kinds array<int>, ids array<string>, records array<binary>, failed string", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_star(messages: DataFrame, signal: str, path: str, checkpoint: str):
+def ingest_star(messages: DataFrame, signal: str, path: str, checkpoint: str, budget: int | None = None, atomic: bool = False, answer_failures: bool = False):
     """Start a query from star messages to tables and acknowledgements below ``path``; returns the StreamingQuery.
 
-    Tables carry stream_id and batch_id.  A message that cannot be decoded closes
-    its stream; one whose rows are refused by normalization is left out whole and
-    answered as invalid, and its stream goes on.
+    Tables carry stream_id and batch_id.  A message that cannot be decoded, or whose
+    rows normalization would refuse, closes its stream; one that finds no room in
+    the stream's ``budget`` is left out whole, and its stream goes on.
     """
 
     def write(star: DataFrame, batch_id: int) -> None:
@@ -133,14 +146,14 @@ def ingest_star(messages: DataFrame, signal: str, path: str, checkpoint: str):
                 keep = [F.col("stream_id"), F.col("payload_id").alias("batch_id")]
                 tables, errors, skipped = transform.tables_of(ir, signal, "permissive", keep, transform.STAR_KEYS)
                 refused = errors.select("stream_id", F.col("payload_id").alias("batch_id"), "error")
-                decoded = star.where("`table` = 'message' or error is not null").select("stream_id", "batch_id", F.col("error").alias("_error"))
-                found = decoded.join(refused, ["stream_id", "batch_id"], "left").withColumn("message", F.coalesce("_error", "error", F.lit("")))
-                acks = found.select("stream_id", "batch_id", F.when(F.col("message") != "", INVALID).otherwise(OK).alias("status_code"), "message")
-                sinks.deliver(tables | ({} if skipped is None else {"skipped": skipped}), path, batch_id)
-                acks.write.mode("overwrite").parquet(f"{path}/acks/batch={batch_id}")
+                decoded = star.where("`table` in ('message', 'refused') or error is not null").select("stream_id", "batch_id", F.col("error").alias("_error"), (F.col("table") == "refused").alias("_full"))
+                found = decoded.join(refused, ["stream_id", "batch_id"], "left").withColumn("_said", F.coalesce("_error", "error"))
+                code = F.when(F.col("_said").isNotNull(), status.code("invalid")).when(F.col("_full"), status.code("full")).otherwise(status.code("ok"))
+                acks = found.select("stream_id", "batch_id", code.alias("status_code"), F.coalesce("_said", F.when(F.col("_full"), status.words("full")), F.lit("")).alias("message"))
+                deliver(tables | ({} if skipped is None else {"skipped": skipped}), acks, path, batch_id, atomic, answer_failures)
             finally:
                 ir.unpersist()
         finally:
             star.unpersist()
 
-    return star_stream(messages, signal).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return star_stream(messages, signal, budget).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
