@@ -572,6 +572,46 @@ def test_registry(spark):
     from tidemark.llm import registry
 
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in registry.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in registry.queries()
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert F is not None
+
+
+def test_registered_token_queries(spark, sf):
+    """op3 and op8 as registered, over a whole table, against the library's own tokenizers."""
+    from tidemark.llm import registry
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got, at = _get(registry.queries()["op3_token_ids"](spark, sf)), 0
+    for (i, _), want in zip(rows, _ids("word_bpe_49k.json", [t for _, t in rows], 1)):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(want), zlib.crc32(want)), i
+        at += len(want)
+    assert len(got) == len(rows)
+    ids = dict(zip((i for i, _ in rows), _ids("byte_bpe_50k.json", [t for _, t in rows], 0)))
+    pieces, filled = registry.queries()["op8_packing"](spark, sf).collect(), collections.defaultdict(list)
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) and zlib.crc32(ids[p.doc_id][p.start : p.start + p.length]) == p.ids_crc32
+        filled[p.sequence_id].append((p.offset, p.length))
+    for i, want in ids.items():
+        cut = sorted((p.start, p.length) for p in pieces if p.doc_id == i)
+        assert [s for s, _ in cut] == [sum(n for _, n in cut[:k]) for k in range(len(cut))] and sum(n for _, n in cut) == len(want)
+    for parts in filled.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+
+
+def test_registered_substring_query(spark, sf):
+    """op6 as registered against all windows of its table."""
+    from tidemark.llm import registry
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    seen, got = set(), _get(registry.queries()["op6_substring_dedup"](spark, sf))
+    for i, text in rows:
+        w = WORD.findall(text)
+        gone = set()
+        for k in range(len(w) - 19):
+            window = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if window in seen else set()
+            seen.add(window)
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
