@@ -486,6 +486,31 @@ def test_latent_basis_is_of_the_corpus(spark):
     assert all(v[2 * i] @ v[2 * i + 1] > max(v[2 * i] @ v[2 * j + 1] for j in range(6) if j != i) for i in range(6))
 
 
+def test_latent_basis_is_of_all_documents(spark):
+    """Every word of two passages is in the basis, whatever the number of texts; it holds what numpy's SVD of all passages does, in one task or more."""
+    r = random.Random(16)
+    topics = [[f"t{i}w{k}" for k in range(12)] for i in range(20)]
+    texts = [" ".join([f"n{i // 2}", *r.sample(topics[i % 20], 9)]) for i in range(4_200)]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    items = spark.createDataFrame([("a b c d e f g h",)], "text string")
+    idf = op9.passage_idf(docs)
+    basis = []
+    for given in (2_000, 100_000):
+        slot, weight, wide, turn = op9.latent_basis(docs, items, idf, given, rank=24)
+        basis.append(wide.value @ turn)
+        assert all((slot[op9.Items.read(x)[1]] > 0).all() for x in texts)
+    a = np.zeros((len(texts), len(weight)))
+    for i, x in enumerate(texts):
+        np.add.at(a[i], slot[op9.Items.read(x)[1]], 1)
+    a *= weight
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    best = np.linalg.eigvalsh(a.T @ a)[::-1][:20].sum()
+    for v in basis:
+        assert np.abs(v.T @ v - np.eye(24)).max() < 0.01
+        assert np.linalg.norm(a @ v) ** 2 > 0.97 * best
+    assert np.linalg.norm(basis[0].T @ basis[1]) ** 2 > 23.9
+
+
 def test_features_follow_the_vocabulary():
     """Few words of a large vocabulary share a feature, so rare words keep their weight."""
     _, f = op9.Items.read(" ".join(f"w{i}" for i in range(20_000)))

@@ -3,9 +3,11 @@
 1. Document frequencies of hashed words are counted over the passages (blocks of
    ``BLOCK`` words) of all documents.
 2. A randomised SVD of TF-IDF passages gives a latent basis: the range finder and
-   its power iteration are passes over the cluster whose partial products have a
-   fixed size.  The basis is that of the corpus: it is fitted on the ``sample_docs``
-   distinct texts of the smallest hashes and on the benchmark, all at weight 1.
+   its power iteration are one pass over the blocks of all documents and of the
+   benchmark, all at weight 1 (a text counts as often as it stands there, as in the
+   frequencies).  A task's partial product has a fixed size, and a core at most
+   makes one; ``task_blocks`` blocks at least share one.  Sums, Gram matrices and
+   rotation are taken part by part on the executors.
 3. Every passage (two neighbouring blocks) of every document is compared with
    every benchmark item, longer ones in windows of at most a passage's size.  A
    window has a direction of its own, so its cosine loses nothing however many
@@ -33,12 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._io import materialize, packed_rows, unpacked_rows
+from ._io import materialize, packed_rows, scratch, unpacked_rows
 from ._vec import BYTE_LOWER, U, mix, ngrams, row_starts, text_slices, words
 from .op2_license_scans import WORD
 
 DIMS, BLOCK, RANK = 1 << 18, 24, 208
-_PARTS, _COLUMNS = 32, 256
+_PARTS, _COLUMNS = 256, 256
+#: Entries of a random test matrix that are not zero, a row; half-precision entries of the basis are so many times the true ones.
+_SIGNS, _SCALE = 8, 4096
 _PART = "part int, rows binary, data binary"
 
 
@@ -52,17 +56,40 @@ def _features(buf: np.ndarray, off: np.ndarray):
     return h, (mix(h + U(9)) >> U(65 - DIMS.bit_length())).astype(np.int64), row, np.repeat(row[:-1], blocks) + inside * BLOCK, first
 
 
-def _sums(table: np.ndarray, feature: np.ndarray, starts: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """Sum of the table's rows over each block."""
-    out = np.zeros((len(starts), table.shape[1]), np.float32)
-    ends = np.append(starts[1:], len(feature))
-    for i in range(0, len(starts), chunk):
-        j = min(i + chunk, len(starts))
-        a = starts[i]
-        out[i:j] = np.add.reduceat(table[feature[a : ends[j - 1]]], starts[i:j] - a, axis=0)
+def _sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray | None = None, out: np.ndarray | None = None, to: np.ndarray | None = None, chunk: int = 256, most: int = 32) -> np.ndarray:
+    """Sum of the table's rows (times their weight) over each stretch of ``rows``, added to the rows ``to`` of ``out``; a chunk of sums stays in the cache."""
+    if out is None:
+        out, to = np.zeros((len(starts), table.shape[1]), np.float32), np.arange(len(starts))
+    got, total = np.empty((chunk, table.shape[1]), table.dtype), np.empty((chunk, table.shape[1]), np.float32)
+
+    def read(r):
+        x = np.take(table, r, axis=0, out=got[: len(r)], mode="clip")
+        return x if weight is None else x * weight[r, None]
+
+    size = ends - starts
+    for i in np.flatnonzero(size > most).tolist():
+        for a in range(starts[i], ends[i], chunk):
+            out[to[i]] += read(rows[a : min(a + chunk, ends[i])]).sum(0, dtype=np.float32)
+    short = np.flatnonzero((size > 0) & (size <= most))
+    short = short[np.argsort(-size[short], kind="stable")]
+    for i in range(0, len(short), chunk):
+        o = short[i : i + chunk]
+        at, left = starts[o], -size[o]
+        total[: len(o)] = read(rows[at])
+        for k in range(1, -int(left[0])):
+            m = int(np.searchsorted(left, -k))
+            total[:m] += read(rows[at[:m] + k])
+        out[to[o]] += total[: len(o)]
     return out
 
 
+def _kept(rows: np.ndarray, starts: np.ndarray):
+    """The rows that are not 0, and first and end one of each block."""
+    keep = rows != 0
+    edge = np.concatenate(([0], np.cumsum(keep)))[np.append(starts, len(rows))]
+    return rows[keep], edge[:-1], edge[1:]
+
+
 def _pairs(blocks: np.ndarray, first: np.ndarray):
     """Passages: each block with the next one of its row; a row of one block is one passage.  Vectors, row, first block."""
     n = np.diff(first)
@@ -75,7 +102,7 @@ def _pairs(blocks: np.ndarray, first: np.ndarray):
     return out, row, at
 
 
-def _alike(table: np.ndarray, turn: np.ndarray, vectors: np.ndarray, feature: np.ndarray, starts: np.ndarray, first: np.ndarray, at: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _alike(table: np.ndarray, weight: np.ndarray, vectors: np.ndarray, feature: np.ndarray, starts: np.ndarray, first: np.ndarray, at: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Latent cosine of each passage ``w`` with ``vectors[q]``; only the blocks of those passages are projected."""
     last = np.repeat(first[1:], np.diff(first)) - 1
     need = np.zeros(len(starts), bool)
@@ -84,7 +111,8 @@ def _alike(table: np.ndarray, turn: np.ndarray, vectors: np.ndarray, feature: np
     size = np.diff(np.append(starts, len(feature)))
     if not need.any():
         return np.zeros(0, np.float32)
-    sums = _sums(table, feature[np.repeat(need, size)], np.concatenate(([0], np.cumsum(size[need])[:-1]))) @ turn
+    rows, begin, end = _kept(feature[np.repeat(need, size)], np.concatenate(([0], np.cumsum(size[need])[:-1])))
+    sums = _sums(table, rows, begin, end, weight)
     place = np.cumsum(need) - 1
     out = np.zeros(len(w), np.float32)
     for i in range(0, len(w), 1 << 14):
@@ -95,17 +123,17 @@ def _alike(table: np.ndarray, turn: np.ndarray, vectors: np.ndarray, feature: np
 
 
 def _split(matrix: np.ndarray, kind: str):
-    """The rows of a matrix that are not zero, in parts."""
+    """The rows of a matrix that are not zero, a part at a time."""
     step = len(matrix) // _PARTS
-    used = np.flatnonzero(matrix if matrix.ndim == 1 else matrix.any(axis=1))
-    cut = np.searchsorted(used, np.arange(_PARTS + 1) * step)
-    rows = [used[i:j] for i, j in zip(cut, cut[1:])]
-    some = [i for i in range(_PARTS) if len(rows[i])]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([(rows[i] - i * step).astype("<i4").tobytes() for i in some], pa.binary()), pa.array([matrix[rows[i]].astype(kind).tobytes() for i in some], pa.binary())], ["part", "rows", "data"])
+    for i in range(_PARTS):
+        part = matrix[i * step : (i + 1) * step]
+        rows = np.flatnonzero(part if part.ndim == 1 else part.any(axis=1))
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows.astype("<i4").tobytes()], pa.binary()), pa.array([part[rows].astype(kind).tobytes()], pa.binary())], ["part", "rows", "data"])
 
 
-def _total(parts: DataFrame, kind: str, shape: tuple) -> np.ndarray:
-    """Add the tasks' matrices part by part on the executors; the sum has a fixed size at most."""
+def _added(parts: DataFrame, kind: str, shape: tuple) -> DataFrame:
+    """Add the tasks' matrices part by part on the executors."""
     step = shape[0] // _PARTS
     wide = np.float64 if "f" in kind else np.int64
 
@@ -117,23 +145,37 @@ def _total(parts: DataFrame, kind: str, shape: tuple) -> np.ndarray:
         r = np.flatnonzero(got if got.ndim == 1 else got.any(axis=1))
         return pa.table({"part": t["part"].slice(0, 1), "rows": pa.array([r.astype("<i4").tobytes()], pa.binary()), "data": pa.array([got[r].astype(kind).tobytes()], pa.binary())})
 
+    return parts.groupBy("part").applyInArrow(add, _PART)
+
+
+def _whole(parts: DataFrame, kind: str, shape: tuple) -> np.ndarray:
+    """The matrix of the parts; it has a fixed size at most."""
+    step = shape[0] // _PARTS
     out = np.zeros(shape, kind)
-    for x in parts.groupBy("part").applyInArrow(add, _PART).toLocalIterator():
+    for x in parts.toLocalIterator():
         r = np.frombuffer(x.rows, "<i4")
         out[x.part * step + r] = np.frombuffer(x.data, kind).reshape(len(r), *shape[1:])
     return out
 
 
-def _orthonormal(y: np.ndarray, step: int = 4096) -> np.ndarray:
-    """Orthonormal range of ``y``, in place; directions that are not there are zero."""
-    for _ in range(2):
-        gram = sum(a.T @ a for a in (y[i : i + step].astype(np.float64) for i in range(0, len(y), step)))
-        size, v = np.linalg.eigh(gram)
-        there = size > 1e-12 * max(float(size[-1]), 1e-30)
-        turn = v * np.where(there, 1 / np.sqrt(np.where(there, size, 1)), 0)
-        for i in range(0, len(y), step):
-            y[i : i + step] = y[i : i + step] @ turn
-    return y
+def _signs(size: int, width: int, seed: int):
+    """Columns and signs of a sparse random test matrix: one in each of ``_SIGNS`` groups of columns, a row."""
+    r = np.random.default_rng(seed)
+    group = width // _SIGNS
+    return r.integers(0, group, (size, _SIGNS), np.int16) + np.arange(_SIGNS, dtype=np.int16) * np.int16(group), r.integers(0, 2, (size, _SIGNS), np.int8) * np.float32(2) - 1
+
+
+def _directions(gram: np.ndarray, cross: np.ndarray, rank: int) -> np.ndarray:
+    """What takes Y = B O to the first orthonormal eigenvectors of its Nystrom form Y (O' Y)^-1 Y', from Y' Y and O' Y; directions that are not there are zero."""
+    size, v = np.linalg.eigh((cross + cross.T) / 2)
+    there = size > max(1e-6 * float(size[-1]), 1e-30)
+    half = v[:, there] / np.sqrt(size[there])
+    size, v = np.linalg.eigh(half.T @ gram @ half)
+    v, size = v[:, ::-1][:, :rank], size[::-1][:rank]
+    there = size > 1e-12 * max(size, default=0)
+    out = np.zeros((len(gram), rank))
+    out[:, : int(there.sum())] = half @ v[:, there] / np.sqrt(size[there])
+    return out
 
 
 def passage_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -150,86 +192,93 @@ def passage_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     key = key[np.concatenate(([True], key[1:] != key[:-1]))]
                     df[:DIMS] += np.bincount(key % DIMS, minlength=DIMS)
                     df[DIMS] += len(starts)
-        yield _split(df, "<i8")
+        yield from _split(df, "<i8")
 
-    return _total(docs.select(text_col).mapInArrow(run, _PART), "<i8", (DIMS + _PARTS,))
+    shape = (DIMS + _PARTS,)
+    return _whole(_added(docs.select(text_col).mapInArrow(run, _PART), "<i8", shape), "<i8", shape)
 
 
-def passage_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """ln((1 + passages) / (1 + passages with the feature)), over the blocks of all documents."""
-    df = passage_counts(docs, text_col)
+def passage_idf(docs: DataFrame, text_col: str = "text", df: np.ndarray | None = None) -> np.ndarray:
+    """ln((1 + passages) / (1 + passages with the feature)), over the blocks of all documents; ``df``: their counts, where known."""
+    df = passage_counts(docs, text_col) if df is None else df
     n = int(df[DIMS])
     return np.log((1 + n) / (1 + df[:DIMS])).astype(np.float32)
 
 
-def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, sample_docs: int, rank: int = RANK, rounds: int = 1, seed: int = 7, least_df: int = 2):
-    """Right singular directions of the TF-IDF passages, by a distributed randomised SVD.
+def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, task_blocks: int, rank: int = RANK, seed: int = 7, least_df: int = 2, df: np.ndarray | None = None):
+    """Right singular directions of the TF-IDF blocks of all documents and items, by a distributed randomised SVD.
 
-    A feature of fewer than ``least_df`` fitted blocks goes with no other, so it is in no direction.  The row of each
-    feature (0: in too few fitted blocks), each row's idf, a broadcast of an orthonormal range and the
-    rotation of the range to the directions.  The range is sent once and rotated where it is used.
+    A feature of fewer than ``least_df`` blocks goes with no other, so it is in no direction.  The row of each
+    feature (0: in too few blocks), each row's idf, a broadcast of the basis in half precision and what takes it to
+    orthonormal directions.  ``df``: the documents' ``passage_counts``, where known.
     """
     spark = docs.sparkSession
-    keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias("k"))
-    last = [x.k for x in keyed.select("k").distinct().orderBy("k").limit(sample_docs).collect()][-1:]
-    picked = keyed.where(F.col("k") <= F.lit(last[0] if last else None).cast("long")).dropDuplicates(["k"]).select("text")
-    fit = materialize(picked.union(items.select("text")).repartition(2), "fit")
-    have = np.flatnonzero(passage_counts(fit)[:DIMS] >= least_df)
+    df = (passage_counts(docs) if df is None else df) + passage_counts(items)
+    have = np.flatnonzero(df[:DIMS] >= least_df)
     slot = np.zeros(DIMS, np.int32)
     slot[have] = np.arange(1, len(have) + 1)
-    size = -(-(len(have) + 1) // _PARTS) * _PARTS
+    size, width = -(-(len(have) + 1) // _PARTS) * _PARTS, rank + 16
     weight = np.zeros(size, np.float32)
     weight[1 : len(have) + 1] = idf[have]
+    step = size // _PARTS
 
-    def scaled(batches, table, slot):
-        """Features, first words, block of each word, and projections over squared lengths, slice by slice."""
+    def product(batches):
+        """B O for the random signs O and the task's share of B = A' A, where A has the blocks as rows of length 1."""
+        columns, signs = _signs(size, width, seed)
+        signs *= weight[:, None]
+        out = np.zeros((size, width), np.float32)
         for batch in batches:
             for _, _, buf, off in text_slices(batch.column(0)):
                 _, f, _, starts, _ = _features(buf, off)
-                if not len(f):
-                    continue
-                f = slot[f]
-                block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
-                norm = np.sqrt(np.maximum(np.bincount(block, weight[f] ** 2), 1e-9))
-                yield f, block, _sums(table, f, starts), norm
-
-    def product(given):
-        def run(batches):
-            # the first range is drawn where it is used; sending it would fill disks
-            omega = given.value if given else np.random.default_rng(seed).standard_normal((size, rank + 16), np.float32)
-            out = np.zeros(omega.shape, np.float32)
-            for f, block, y, norm in scaled(batches, weight[:, None] * omega, slot):
-                y = y / (norm**2)[:, None].astype(np.float32)
-                order = np.argsort(f, kind="stable")
-                fs = f[order]
-                cut = np.flatnonzero(np.concatenate(([True], fs[1:] != fs[:-1])))
-                for i in range(0, len(cut), 2048):
-                    j = min(i + 2048, len(cut))
-                    s, e = cut[i], cut[j] if j < len(cut) else len(fs)
-                    out[fs[cut[i:j]]] += np.add.reduceat(y[block[order[s:e]]], cut[i:j] - s, axis=0) * weight[fs[cut[i:j]], None]
-            yield _split(out, "<f4")
-
-        return run
-
-    def gram(given):
-        def run(batches):
-            out = np.zeros((rank + 16, rank + 16))
-            for _, _, y, norm in scaled(batches, weight[:, None] * given.value, slot):
-                y = y / norm[:, None].astype(np.float32)
-                out += y.T @ y
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["data"])
-
-        return run
-
-    sent = None
-    for _ in range(rounds):
-        omega = _orthonormal(_total(fit.mapInArrow(product(sent), _PART), "<f4", (size, rank + 16)))
-        omega[0] = 0
-        sent = spark.sparkContext.broadcast(omega)
-    # rotate to singular directions: eigenvectors of the projected Gram matrix
-    total = sum(np.frombuffer(x.data).reshape(rank + 16, rank + 16) for x in fit.mapInArrow(gram(sent), "data binary").collect())
-    _, v = np.linalg.eigh(total)
-    return slot, weight, sent, v[:, ::-1][:, :rank].astype(np.float32)
+                kept, begin, end = _kept(slot[f], starts)
+                for i in range(0, len(starts), 1 << 12):
+                    n = np.subtract(end, begin)[i : i + (1 << 12)]
+                    f = kept[begin[i] :][: n.sum()]
+                    if not len(f):
+                        continue
+                    block = np.repeat(np.arange(len(n)), n)
+                    square = np.maximum(np.bincount(block, weight[f] ** 2, len(n)), 1e-9)
+                    y = np.bincount(((block * width)[:, None] + columns[f]).ravel(), signs[f].ravel(), len(n) * width).reshape(-1, width)
+                    y = (y / square[:, None]).astype(np.float32)
+                    order = np.argsort(f, kind="stable")
+                    f = f[order]
+                    cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
+                    _sums(y, block[order], cut[:-1], cut[1:], None, out, f[cut[:-1]])
+        out *= weight[:, None]
+        yield from _split(out, "<f4")
+
+    def read(batches):
+        for batch in batches:
+            for part, r, x in zip(*(batch.column(i) for i in range(3))):
+                yield part, r, np.frombuffer(r.as_buffer(), "<i4"), np.frombuffer(x.as_buffer(), "<f4").reshape(-1, width).astype(np.float64)
+
+    def grams(batches):
+        columns, signs = _signs(size, width, seed)
+        gram, cross = np.zeros((2, width, width))
+        for part, _, r, y in read(batches):
+            omega, r = np.zeros((len(r), width)), r + part.as_py() * step
+            np.put_along_axis(omega, columns[r], signs[r], 1)
+            gram += y.T @ y
+            cross += omega.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], ["gram", "cross"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(df[DIMS]) // task_blocks))
+    parts = docs.select("text").union(items.select("text")).coalesce(tasks).mapInArrow(product, _PART)
+    with scratch(spark):  # the range and what it is added from go before the basis is sent
+        # a few parts a task and file, for a task's rows cross to Python in one batch
+        found = materialize(_added(parts.repartition(_PARTS // 8, "part"), "<f4", (size, width)), "range")
+        gram, cross = np.zeros((2, width, width))
+        for x in found.mapInArrow(grams, "gram binary, cross binary").toLocalIterator():
+            gram += np.frombuffer(x.gram).reshape(width, width)
+            cross += np.frombuffer(x.cross).reshape(width, width)
+        turn = _directions(gram, cross, rank) * _SCALE
+
+        def rotate(batches):
+            for part, rows, _, y in read(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([rows.as_py()], pa.binary()), pa.array([(y @ turn).astype("<f2").tobytes()], pa.binary())], ["part", "rows", "data"])
+
+        basis = _whole(found.mapInArrow(rotate, _PART), "<f2", (size, rank))
+    return slot, weight, spark.sparkContext.broadcast(basis), np.eye(rank, dtype=np.float32) / _SCALE
 
 
 def common_subsequence(masks: dict, n: int, text: list) -> int:
@@ -271,7 +320,7 @@ def _within(masks: dict, n: int, text: list, tight: float, least: float) -> bool
 class Items:
     """A block of the benchmark, as the tasks use it."""
 
-    def __init__(self, rows: list, idf: np.ndarray, slot: np.ndarray, wide: np.ndarray, turn: np.ndarray, least_words: int, least_cosine: float, paraphrase: float):
+    def __init__(self, rows: list, idf: np.ndarray, slot: np.ndarray, wide: np.ndarray, least_words: int, least_cosine: float, paraphrase: float):
         self.ids, self.words, self.answers, self.masks = [], [], [], []
         vectors, of, bounds = [], [], []
         grams: dict[int, dict[int, set[int]]] = {}
@@ -298,7 +347,7 @@ class Items:
                 of.append(q)
                 bounds.append(min(least_cosine, _bound(len(w), paraphrase)))
         self.tables = [self.columns(vectors[i : i + _COLUMNS], idf) for i in range(0, len(vectors), _COLUMNS)]
-        v = np.array([v @ wide[slot[kept]] for kept, v in vectors], np.float32).reshape(len(vectors), len(turn)) @ turn
+        v = np.array([v @ wide[slot[kept]].astype(np.float32) for kept, v in vectors], np.float32).reshape(len(vectors), wide.shape[1])
         self.latent = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         self.of, self.bounds = np.array(of, np.int64), np.array(bounds, np.float32)
         self.grams = []
@@ -318,11 +367,17 @@ class Items:
             out[slot[kept], j] = v * idf[kept]
         return slot, out
 
-    def cosines(self, f: np.ndarray, starts: np.ndarray, first: np.ndarray, square: np.ndarray):
-        """(first window, cosines of all passages with the windows of a table); ``square`` has their squared lengths."""
-        for i, (slot, table) in enumerate(self.tables):
-            p, *_ = _pairs(_sums(table, slot[f], starts), first)
-            yield i * _COLUMNS, p / np.sqrt(np.maximum(square, 1e-9))[:, None]
+    def cosines(self, f: np.ndarray, starts: np.ndarray, at: np.ndarray, follows: np.ndarray, square: np.ndarray, chunk: int = 1024):
+        """(first window, first passage, cosines of some passages with the windows of a table); ``square`` has their squared lengths."""
+        norm = np.sqrt(np.maximum(square, 1e-9)).astype(np.float32)
+        for k, (slot, table) in enumerate(self.tables):
+            sums = _sums(table, *_kept(slot[f], starts))
+            for i in range(0, len(at), chunk):
+                a = at[i : i + chunk]
+                p = sums[a]
+                p += sums[np.minimum(a + 1, len(sums) - 1)] * follows[i : i + chunk, None]
+                p /= norm[i : i + chunk, None]
+                yield k * _COLUMNS, i, p
 
     def verbatim(self, h: np.ndarray, row: np.ndarray):
         """(place, item) of the words in a row that an item has too."""
@@ -341,7 +396,7 @@ class Items:
         return h.tolist(), f
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_cosine: float = 0.3, verbatim: float = 0.8, paraphrase: float = 0.6, tight: float = 1.25, least_words: int = 8, sample_docs: int = 2_000, window_block: int = 256, least_latent: float = 0.8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_cosine: float = 0.3, verbatim: float = 0.8, paraphrase: float = 0.6, tight: float = 1.25, least_words: int = 8, task_blocks: int = 1 << 20, window_block: int = 256, least_latent: float = 0.8) -> DataFrame:
     """``docs`` plus _items (array of leaked item ids), _lcs (largest share of an item found) and _candidates (pairs checked)."""
     spark = docs.sparkSession
     given, docs = docs.columns, packed_rows(docs, id_col, text_col).drop("id")
@@ -350,20 +405,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"), answer.alias("answer")).where("text is not null")
     n_words = F.size(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     n_windows = int(items.agg(F.coalesce(F.sum(F.ceil(n_words / (2 * BLOCK))), F.lit(0))).first()[0])
-    idf = passage_idf(texts)
+    df = passage_counts(texts)
+    idf = passage_idf(texts, df=df)
     place, columns = 1, ["row", "text"]
     out = docs.withColumns({"_items": F.array().cast("array<long>"), "_lcs": F.lit(0.0), "_candidates": F.lit(0).cast("long")})
     blocks = 1 if n_windows <= window_block else -(-n_windows * 5 // (window_block * 4))
-    slot, weight, wide, turn = latent_basis(texts, items, idf, sample_docs)
-    known = spark.sparkContext.broadcast((idf, slot, weight, turn))
+    slot, weight, wide, _ = latent_basis(texts, items, idf, task_blocks, df=df)
+    known = spark.sparkContext.broadcast((idf, slot, weight))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([tuple(x) for x in part.orderBy("item", "text").collect()])
 
         def run(batches, sent=sent):
-            idf, slot, weight, turn = known.value
-            latent = weight[:, None] * wide.value
-            bench = Items(sent.value, idf, slot, wide.value, turn, least_words, least_cosine, paraphrase)
+            idf, slot, weight = known.value
+            bench = Items(sent.value, idf, slot, wide.value, least_words, least_cosine, paraphrase)
             for batch in batches:
                 for a, b, buf, off in text_slices(batch.column(place)):
                     n = b - a
@@ -375,15 +430,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     if len(h) and bench.ids:
                         square, of, at = _pairs(np.add.reduceat(idf[f] ** 2, starts), first)
                         pairs, close = set(), []
-                        for k, p in bench.cosines(f, starts, first, square):
+                        follows = (np.diff(first) > 1)[of]
+                        for k, i, p in bench.cosines(f, starts, at, follows, square):
                             least = bench.bounds[k : k + p.shape[1]]
-                            w, q = np.nonzero(p >= least * (2 / 3))
+                            w, q = np.divmod(np.flatnonzero(p >= least * np.float32(2 / 3)), p.shape[1])
                             sure = p[w, q] >= least[q]
+                            w += i
                             pairs.update(zip(of[w[sure]].tolist(), bench.of[q[sure] + k].tolist(), starts[at[w[sure]]].tolist()))
                             close.append((w[~sure], q[~sure] + k))
                         if close:
                             w, q = (np.concatenate(x) for x in zip(*close))
-                            ok = _alike(latent, turn, bench.latent, slot[f], starts, first, at, w, q) >= least_latent
+                            ok = _alike(wide.value, weight, bench.latent, slot[f], starts, first, at, w, q) >= least_latent
                             pairs.update(zip(of[w[ok]].tolist(), bench.of[q[ok]].tolist(), starts[at[w[ok]]].tolist()))
                         for i, q in bench.verbatim(h, row):
                             r = int(np.searchsorted(row, i, "right")) - 1
