@@ -63,3 +63,16 @@ def test_near_duplicates_by_id_and_text(spark, sf):
     got = corpus_pipeline.near_duplicates(spark, docs, sf)
     assert got.columns == docs.columns
     assert sorted((x.doc_id or 0, x.text) for x in got.collect()) == sorted([(1, a), (5, b), (5, c), (0, d), (0, e)])
+
+
+def test_leak_stage_fits_all_documents(spark, tmp_path, monkeypatch):
+    """The leak stage's basis has every word that two texts share, however many texts there are."""
+    from tidemark.llm import op9_benchmark_decontamination as op9
+
+    texts = [f"pair{i // 2} " + " ".join(f"t{i % 20}w{k}" for k in range(9)) for i in range(4_200)]
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, fit = [], op9.latent_basis
+    monkeypatch.setattr(op9, "latent_basis", lambda *a, **b: made.append(fit(*a, **b)) or made[-1])
+    assert corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).count() == len(texts)
+    assert all((made[0][0][op9.Items.read(x)[1]] > 0).all() for x in texts)
