@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,6 +512,30 @@ def test_latent_basis_is_of_all_documents(spark):
     assert np.linalg.norm(basis[0].T @ basis[1]) ** 2 > 23.9
 
 
+def test_fit_takes_every_block_in_small_parts():
+    """The fit's parts hold each block of each text once, in bounded numbers, also of a text longer than a slice."""
+    r = random.Random(17)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(n)) for n in (0, 1, 24, 25, 70_000, 3, 400, 30_000)] + [None] + ["b c"] * 3_000
+    slot = np.arange(op9.DIMS, dtype=np.int32)
+    got = list(op9._blocks([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], ["text"]) for i in range(0, len(texts), 4)], slot, 1 << 9))
+    assert all(len(n) <= 1 << 9 and n.sum() == len(f) for f, n in got)
+    want = [f[i : i + op9.BLOCK] for _, f in map(op9.Items.read, texts) for i in range(0, len(f), op9.BLOCK)]
+    assert [x.tolist() for f, n in got for x in np.split(f, np.cumsum(n)[:-1])] == [x[x != 0].tolist() for x in want]
+
+
+def test_subsequence_bound():
+    """What is skipped before the subsequence is looked for could have had no larger share."""
+    r = random.Random(18)
+    for _ in range(300):
+        pattern, text = ([r.randrange(12) for _ in range(r.randint(1, n))] for n in (20, 60))
+        masks = {}
+        for i, w in enumerate(pattern):
+            masks[w] = masks.get(w, 0) | 1 << i
+        most = op9.most_common(masks, text)
+        assert op9.common_subsequence(masks, len(pattern), text) <= most <= min(len(pattern), len(text))
+        assert op9.most_common(masks, [99, 98]) == 0 and op9.most_common(masks, pattern) == len(pattern)
+
+
 def test_features_follow_the_vocabulary():
     """Few words of a large vocabulary share a feature, so rare words keep their weight."""
     _, f = op9.Items.read(" ".join(f"w{i}" for i in range(20_000)))

@@ -44,6 +44,8 @@ _PARTS, _COLUMNS = 256, 256
 #: Entries of a random test matrix that are not zero, a row; half-precision entries of the basis are so many times the true ones.
 _SIGNS, _SCALE = 8, 4096
 _PART = "part int, rows binary, data binary"
+#: Bytes of text whose words are hashed at a time and blocks whose signs are summed at a time, so that what is made on the way stays in the cache.
+_TEXT, _SIGNED = 1 << 18, 256
 
 
 def _features(buf: np.ndarray, off: np.ndarray):
@@ -90,6 +92,31 @@ def _kept(rows: np.ndarray, starts: np.ndarray):
     return rows[keep], edge[:-1], edge[1:]
 
 
+def _blocks(batches, slot: np.ndarray, most: int = 1 << 12):
+    """Rows that are not 0 of the words, and their number in each block, of about ``most`` blocks of the texts at a time."""
+    held, count = [], 0
+
+    def joined():
+        f, n = (np.concatenate(x) for x in zip(*held))
+        edge = np.concatenate(([0], np.cumsum(n)))
+        for i in range(0, len(n), most):
+            part = n[i : i + most]
+            if kept := int(part.sum()):
+                yield f[edge[i] : edge[i] + kept], part
+
+    for batch in batches:
+        for _, _, buf, off in text_slices(batch.column(0), _TEXT):
+            _, f, _, starts, _ = _features(buf, off)
+            kept, begin, end = _kept(slot[f], starts)
+            held.append((kept, end - begin))
+            count += len(starts)
+            if count > most // 2:
+                yield from joined()
+                held, count = [], 0
+    if held:
+        yield from joined()
+
+
 def _pairs(blocks: np.ndarray, first: np.ndarray):
     """Passages: each block with the next one of its row; a row of one block is one passage.  Vectors, row, first block."""
     n = np.diff(first)
@@ -184,7 +211,7 @@ def passage_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         df = np.zeros(DIMS + _PARTS, np.int64)
         for batch in batches:
-            for _, _, buf, off in text_slices(batch.column(0)):
+            for _, _, buf, off in text_slices(batch.column(0), _TEXT):
                 _, f, _, starts, _ = _features(buf, off)
                 if len(f):
                     block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
@@ -227,23 +254,20 @@ def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, task_blocks
         columns, signs = _signs(size, width, seed)
         signs *= weight[:, None]
         out = np.zeros((size, width), np.float32)
-        for batch in batches:
-            for _, _, buf, off in text_slices(batch.column(0)):
-                _, f, _, starts, _ = _features(buf, off)
-                kept, begin, end = _kept(slot[f], starts)
-                for i in range(0, len(starts), 1 << 12):
-                    n = np.subtract(end, begin)[i : i + (1 << 12)]
-                    f = kept[begin[i] :][: n.sum()]
-                    if not len(f):
-                        continue
-                    block = np.repeat(np.arange(len(n)), n)
-                    square = np.maximum(np.bincount(block, weight[f] ** 2, len(n)), 1e-9)
-                    y = np.bincount(((block * width)[:, None] + columns[f]).ravel(), signs[f].ravel(), len(n) * width).reshape(-1, width)
-                    y = (y / square[:, None]).astype(np.float32)
-                    order = np.argsort(f, kind="stable")
-                    f = f[order]
-                    cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
-                    _sums(y, block[order], cut[:-1], cut[1:], None, out, f[cut[:-1]])
+        for f, n in _blocks(batches, slot):
+            block = np.repeat(np.arange(len(n)), n)
+            square = np.maximum(np.bincount(block, weight[f] ** 2, len(n)), 1e-9)
+            y, edge = np.empty((len(n), width), np.float32), np.concatenate(([0], np.cumsum(n)))
+            for i in range(0, len(n), _SIGNED):
+                j = min(i + _SIGNED, len(n))
+                g = f[edge[i] : edge[j]]
+                at = np.take(columns, g, axis=0) + ((block[edge[i] : edge[j]] - i) * width)[:, None]
+                x = np.bincount(at.ravel(), np.take(signs, g, axis=0).ravel(), (j - i) * width).reshape(-1, width)
+                np.divide(x, square[i:j, None], out=y[i:j], casting="same_kind")
+            order = np.argsort(f, kind="stable")
+            f = f[order]
+            cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
+            _sums(y, block[order], cut[:-1], cut[1:], None, out, f[cut[:-1]])
         out *= weight[:, None]
         yield from _split(out, "<f4")
 
@@ -285,13 +309,18 @@ def common_subsequence(masks: dict, n: int, text: list) -> int:
     """Length of the longest common subsequence; ``masks`` has the places of each word of a pattern of ``n`` words as bits."""
     full = (1 << n) - 1
     v = full
-    for w in text:
-        if m := masks.get(w):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(masks.get, text)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
+def most_common(masks: dict, text: list) -> int:
+    """What the longest common subsequence has at most: the words of the pattern that the text holds, and the text's that the pattern does."""
+    found = [m for m in map(masks.get, text) if m]
+    return min(len(found), sum(map(int.bit_count, set(found))))
+
+
 def _has(part: list, whole: list) -> bool:
     n = len(part)
     return any(whole[i : i + n] == part for i in range(len(whole) - n + 1) if whole[i] == part[0]) if n else False
@@ -420,7 +449,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             idf, slot, weight = known.value
             bench = Items(sent.value, idf, slot, wide.value, least_words, least_cosine, paraphrase)
             for batch in batches:
-                for a, b, buf, off in text_slices(batch.column(place)):
+                for a, b, buf, off in text_slices(batch.column(place), _TEXT):
                     n = b - a
                     old = batch.column(len(columns)).slice(a, n).to_pylist()
                     found = [set(x) for x in old]
@@ -456,9 +485,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             tried[r] += 1
                             lo = max(int(row[r]), place_of - size)
                             near = h[lo : min(int(row[r + 1]), place_of + 2 * BLOCK + size + more)].tolist()
-                            share = common_subsequence(bench.masks[q], size, near) / size
                             if size < least_words and not _has(bench.words[q], near):
                                 continue
+                            most = most_common(bench.masks[q], near) / size
+                            if most <= lcs[r] and most < min(verbatim, paraphrase):
+                                continue  # no leak, and no larger share than what is known
+                            share = common_subsequence(bench.masks[q], size, near) / size
                             lcs[r] = max(lcs[r], share)
                             if share >= verbatim or share >= paraphrase and (_has(bench.answers[q], near) if bench.answers[q] else _within(bench.masks[q], size, near, tight, paraphrase)):
                                 found[r].add(bench.ids[q])
