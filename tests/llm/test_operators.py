@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -512,6 +513,26 @@ def test_latent_basis_is_of_all_documents(spark):
     assert np.linalg.norm(basis[0].T @ basis[1]) ** 2 > 23.9
 
 
+def test_memo_goes_when_idle(monkeypatch):
+    """A worker that goes on to other stages does not keep tokenizer and memo; a task that has them does."""
+    import public_tokenizers
+
+    from tidemark.llm import token_memo
+
+    monkeypatch.setattr(token_memo, "IDLE", 0.2)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_memo._OPEN.pop((path, True), None)
+    memo = token_memo.hf_memo(path)
+    buf = np.frombuffer(b"one two, one three", np.uint8)
+    ids = memo.texts(buf, np.array([0, len(buf)]))[0].tolist()
+    assert token_memo.hf_memo(path) is memo
+    end = time.monotonic() + 10
+    while (path, True) in token_memo._OPEN and time.monotonic() < end:
+        time.sleep(0.05)
+    assert (path, True) not in token_memo._OPEN
+    assert memo.texts(buf, np.array([0, len(buf)]))[0].tolist() == ids == token_memo.hf_memo(path).texts(buf, np.array([0, len(buf)]))[0].tolist()
+
+
 def test_fit_takes_every_block_in_small_parts():
     """The fit's parts hold each block of each text once, in bounded numbers, also of a text longer than a slice."""
     r = random.Random(17)

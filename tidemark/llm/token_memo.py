@@ -3,11 +3,14 @@
 A tokenizer that never merges across a white-space boundary encodes a text to
 the concatenation of its chunks' encodings.  Chunks are found and hashed with
 numpy; each distinct chunk is encoded once per worker by the tokenizer itself;
-the ids of whole texts are then gathered from one flat array.
+the ids of whole texts are then gathered from one flat array.  A worker outlives
+the stage that tokenizes, so a memo that no task uses for a while is dropped.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 from itertools import chain
 
 import numpy as np
@@ -54,7 +57,7 @@ class Memo:
     """
 
     def __init__(self, encode, limit: int = 3_000_000, starts=chunk_starts):
-        self.encode, self.limit, self.starts = encode, limit, starts
+        self.encode, self.limit, self.starts, self.used = encode, limit, starts, time.monotonic()
         self.clear()
 
     def clear(self) -> None:
@@ -107,6 +110,7 @@ class Memo:
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows (uint32) and each row's offsets (n + 1)."""
+        self.used = time.monotonic()
         if self.n > self.limit or self.from_[self.n] > MOST_BYTES:
             self.clear()
         starts = self.starts(buf, off)
@@ -131,6 +135,14 @@ class Memo:
 
 
 _OPEN: dict = {}
+#: Seconds after its last use at which a worker's memo goes, with its tokenizer; a task that still has it keeps it.
+IDLE = 3.0
+
+
+def _drop_idle(key: tuple, memo: Memo) -> None:
+    while (left := memo.used + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    _OPEN.pop(key, None)
 
 
 def _byte_chars() -> list[str]:
@@ -153,7 +165,7 @@ def hf_memo(path: str, special: bool = True) -> Memo:
     alone is one pre-token, so the tokenizer's model encodes it directly; any
     other chunk takes the whole tokenizer.
     """
-    if (path, special) not in _OPEN:
+    if (found := _OPEN.get((path, special))) is None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,5 +198,7 @@ def hf_memo(path: str, special: bool = True) -> Memo:
                 out[i] = x.ids
             return out
 
-        _OPEN[path, special] = Memo(encode, starts=chunk_starts if inside else row_starts)
-    return _OPEN[path, special]
+        found = _OPEN[path, special] = Memo(encode, starts=chunk_starts if inside else row_starts)
+        threading.Thread(target=_drop_idle, args=((path, special), found), daemon=True).start()
+    found.used = time.monotonic()
+    return found
