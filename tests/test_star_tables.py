@@ -33,3 +33,9 @@ def _after_the_streams(messages, signal: str) -> str:
 def test_spans_are_not_exchanged(spark, sf):
     """One exchange deals messages to streams; none follows the decoder."""
     assert "Exchange" not in _after_the_streams(synth.star_messages(queries.span_payloads(spark, sf), "traces"), "traces")
+
+
+def test_span_children_are_not_exchanged(spark, sf):
+    """The plan of spans with events and links has no join, window or exchange, so it stays small in the driver."""
+    plan = _after_the_streams(synth.star_messages(queries.child_payloads(spark, sf), "traces"), "traces")
+    assert not any(x in plan for x in ("Exchange", "Join", "Window"))
