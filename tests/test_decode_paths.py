@@ -121,3 +121,20 @@ def test_points_of_all_shapes_in_order(spark):
             assert {k: v for k, v in a.items() if v not in (None, [], 0, 0.0)} == {k: v for k, v in b.items() if v not in (None, [], 0, 0.0)}
     m = t.transform_metrics(payloads(spark, text), "json")
     assert [m.tables()[k].count() for k in ("gauge", "sum", "histogram", "exp_histogram")] == [3, 1, 0, 1] and m.skipped.first().summaries == 2
+
+
+def test_readers_give_rows_in_parts():
+    """Rows of an Arrow batch of payloads come in parts, in order, one list a payload, null where nothing was asked."""
+    import pyarrow as pa
+
+    from tidemark.sources import decode as d
+
+    made = lambda n: wire.write("logs", {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": f"{n}-{i}", "body": {"stringValue": "x" * 500}} for i in range(n)]}]}]})
+    sizes = [None, 3000, 0, 5000, None, 7000, 1, 9000]
+    batch = (pa.array([None if n is None else made(n) for n in sizes], pa.binary()), pa.array(["protobuf"] * len(sizes)))
+    kind = pa.list_(pa.struct([("severity_text", pa.string()), ("body", pa.struct([("str", pa.string())])), ("error", pa.string())]))
+    parts = list(d._lists("logs", [batch, (batch[0][:0], batch[1][:0])], kind))
+    assert len(parts) >= 3 and sum(len(p) for p in parts) == len(sizes)
+    rows = [x for p in parts for x in p.to_pylist()]
+    assert [None if r is None else len(r) for r in rows] == sizes
+    assert [r["severity_text"] for r in rows[3]] == [f"5000-{i}" for i in range(5000)]

@@ -22,6 +22,7 @@ exploded.  Without it such a record carries the error itself.
 from __future__ import annotations
 
 import decimal
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -145,14 +146,36 @@ def _record_fails(signal: str):
     return lambda m: F.exists(F.array(*(_no_enum(m[k]["aggregationTemporality"], "temporality") | _any_of(m[k]["dataPoints"], lambda p: refused(p).isNotNull()) for k in shapes)), lambda x: x)
 
 
+#: Rows of the readers that are held as Python objects, and bytes that are given out at once.
+_HELD, _GIVEN = 2048, 4 << 20
+
+
+def _lists(signal: str, batches, kind: pa.DataType):
+    """Arrays of intermediate rows for arrays of payloads (null: not asked) and formats, in parts: so many rows at once, whatever an Arrow batch holds."""
+    for payloads, formats in batches:
+        out, parts, held, size = [], [], 0, 0
+        for payload, fmt in zip(payloads, formats):
+            rows = _read_rows(signal, payload.as_py(), fmt.as_py()) if payload.is_valid else None
+            out.append(rows)
+            held += len(rows or ())
+            if held >= _HELD or len(out) >= _HELD:
+                parts.append(pa.array(out, kind))
+                size += parts[-1].nbytes
+                out, held = [], 0
+            if size >= _GIVEN:
+                yield pa.concat_arrays(parts)
+                parts, size = [], 0
+        if out or parts or not len(payloads):
+            yield pa.concat_arrays([*parts, pa.array(out, kind)])
+
+
 def _fallback(signal: str):
     """Arrow function from payloads (null: not asked) and formats to arrays of intermediate rows without their payload_id."""
     struct = T.StructType(T.StructType.fromDDL(IR[signal]).fields[1:])
     kind = to_arrow_type(T.ArrayType(struct))
 
-    def run(payload: pa.Array, fmt: pa.Array) -> pa.Array:
-        asked = payload.is_valid().to_pylist()
-        return pa.array([_read_rows(signal, p, f) if yes else None for p, f, yes in zip(payload.to_pylist(), fmt.to_pylist(), asked)], kind)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return _lists(signal, batches, kind)
 
     return F.arrow_udf(run, T.ArrayType(struct))
 
@@ -264,8 +287,9 @@ def _python_rows(payloads: DataFrame, signal: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             held = []
-            for key, data, fmt in zip(*(c.to_pylist() for c in batch.columns)):
-                held += [{"payload_id": key, **r} for r in _read_rows(signal, data, fmt)]
+            for key, data, fmt in zip(*batch.columns):
+                key = key.as_py()
+                held += [{"payload_id": key, **r} for r in _read_rows(signal, data.as_py(), fmt.as_py())]
                 if len(held) >= 2048:
                     yield pa.RecordBatch.from_pylist(held, schema=arrow)
                     held = []
