@@ -66,3 +66,26 @@ def test_answers_are_those_of_the_rows(spark):
     found = told(star_session.outcomes(messages, "logs", budget=20_000))
     assert found == told(star_session.decode_streams(messages, "logs", budget=20_000))
     assert {k: v[0] for k, v in found.items()} == {("fine", 0): 0, ("full", 0): 8, ("kind", 0): 3, ("cut", 0): 3, ("empty", 0): 3, ("text", 0): 3, ("nested", 0): 3, ("good", 0): 0}
+
+
+def test_batches_to_python_are_small(spark):
+    """Payloads cross to Python in batches of a few MB, whatever the session's limit was; a smaller limit stays."""
+    from tidemark.sources import batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert [batches._bytes(x) for x in ("67108864b", "8m", "16kb", "5")] == [64 << 20, 8 << 20, 16 << 10, 5]
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("64m", batches.BYTES), ("128m", batches.BYTES), ("1m", 1 << 20)):
+            spark.conf.set(key, given)
+            big = spark.range(0, 60, 1, 1).selectExpr("id as payload_id", "repeat('x', 1 << 20) as payload")
+            sizes = batches.bounded(big).mapInArrow(lambda it: (b.from_pydict({"n": [b.nbytes]}) for b in it), "n bigint").collect()
+            assert batches._bytes(spark.conf.get(key)) == held and len(sizes) >= 6 and max(r.n for r in sizes) <= held + (2 << 20)
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", ["logs_star"])
+def test_star_queries_hold_no_stream(spark, sf, name):
+    """No stream is a group of one task, in writing or in reading."""
+    assert "FlatMapGroups" not in _plan(queries.queries()[name](spark, sf))

@@ -32,6 +32,7 @@ from ..functions import rows as finished
 from ..functions.enums import bytes_of, bytes_value, enum_number, looks_like_json, whole_number
 from ..schemas import ANY, ATTRS, BOOL, BYTES, DOUBLE, EMPTY, EXP_HISTOGRAM, GAUGE, HISTOGRAM, INT, IR, STR, SUM, SUMMARY, U64
 from . import wire
+from .batches import bounded
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string>"
 _KV = f"array<struct<key:string,value:{_VALUE}>>"
@@ -312,7 +313,7 @@ def decode(payloads: DataFrame, signal: str, fmt: str | None = None, whole: bool
         payloads = payloads.withColumn("format", F.lit(fmt))
     elif "format" not in payloads.columns:
         payloads = payloads.withColumn("format", F.lit("auto"))
-    payloads = payloads.select("payload_id", "payload", F.lower("format").alias("format"))
+    payloads = bounded(payloads).select("payload_id", "payload", F.lower("format").alias("format"))
     if fmt == "protobuf":
         return _python_rows(payloads, signal)
     text, form = F.col("payload").cast("string"), F.col("format")
