@@ -85,7 +85,7 @@ def test_batches_to_python_are_small(spark):
         spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", ["logs_star", "metrics_gauge_star", "star_acks"])
+@pytest.mark.parametrize("name", ["logs_star", "metrics_gauge_star", "star_acks", "logs_star_attr_kinds"])
 def test_star_queries_hold_no_stream(spark, sf, name):
     """No stream is a group of one task, in writing or in reading."""
     assert "FlatMapGroups" not in _plan(queries.queries()[name](spark, sf))
